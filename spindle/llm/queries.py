@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, fingerprints, mixing, packing, secrets, topk
+from . import extraction, fingerprints, language, mixing, packing, quality, secrets, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(_read(spark, sf_dir, "pages"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -38,7 +46,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op5_html_extraction, op7_source_mixing, op9_fingerprints, op10_exact_top_k)
+    f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op5_html_extraction, op6_quality_classifier, op7_source_mixing, op8_language_id, op9_fingerprints, op10_exact_top_k)
 }
 
 ORACLE_SQL: dict[str, str] = {
