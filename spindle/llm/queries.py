@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, fingerprints, language, mixing, packing, quality, secrets, topk
+from . import extraction, fingerprints, language, mixing, packing, quality, secrets, substrings, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(_read(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -46,10 +50,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op5_html_extraction, op6_quality_classifier, op7_source_mixing, op8_language_id, op9_fingerprints, op10_exact_top_k)
+    f.__name__: f for f in (op1_substring_dedup, op3_secret_scan, op4_best_fit_packing, op5_html_extraction, op6_quality_classifier, op7_source_mixing, op8_language_id, op9_fingerprints, op10_exact_top_k)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": """
+        with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '') w from documents),
+        p as (select doc_id, w, unnest(range(1, len(w) - 48)) i from d where len(w) >= 50),
+        h as (select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) h from p),
+        m as (select h, min(doc_id) first from h group by h),
+        c as (select distinct doc_id, unnest(range(i, i + 50)) i from h join m using (h) where first < doc_id),
+        r as (select doc_id, list(i) gone from c group by doc_id),
+        k as (select d.doc_id, w, coalesce(gone, []) gone, list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)) kept from d left join r using (doc_id))
+        select doc_id, cast(len(w) as bigint) n_words, cast(len(gone) as bigint) n_removed, sha256(array_to_string(kept, ' ')) kept_sha256 from k""",
     "op10_exact_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
                    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
