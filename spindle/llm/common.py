@@ -45,18 +45,23 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def column(df: DataFrame, name: str, kind: str | None = None) -> Column:
-    """The column of exactly this name, even where others differ from it only in case or hold dots."""
-    exact = [c for c in df.columns if c == name] or [c for c in df.columns if c.lower() == name.lower()]
+def place(df: DataFrame, name: str) -> int:
+    """Which column has this name: exactly, or else but for case."""
+    exact = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
     if not exact:
         raise ValueError(f"there is no column {name}; there are {', '.join(df.columns)}")
-    col = df[f"`{exact[0]}`"]
-    return (col.cast(kind) if kind else col).alias(name)
+    return exact[0]
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """These columns alone: further ones, whatever their names, can then clash with nothing."""
-    return df.select(*[column(df, n) for n in names])
+def plain(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: names that differ in case alone, hold dots or are used twice then cannot be confused."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def take(df: DataFrame, **kinds: str) -> DataFrame:
+    """These columns alone, of these types: further ones, whatever their names, can then clash with nothing."""
+    at = {name: place(df, name) for name in kinds}
+    return plain(df).select(*[F.col(f"c{at[name]}").cast(kind).alias(name) for name, kind in kinds.items()])
 
 
 def partitions(spark: SparkSession) -> int:

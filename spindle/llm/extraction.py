@@ -253,4 +253,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(common.column(pages, "page_id", "long"), common.column(pages, "url", "string"), common.column(pages, "html", "string")).mapInArrow(run, SCHEMA)
+    return common.take(pages, page_id="long", url="string", html="string").mapInArrow(run, SCHEMA)

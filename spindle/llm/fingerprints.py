@@ -38,9 +38,9 @@ def hexed(hi: Column, lo: Column) -> Column:
 
 def collided(docs: DataFrame) -> DataFrame:
     """hi, lo of the buckets that hold different canonical texts."""
-    canon = canonical(common.trimmed(common.column(docs, "text", "string")))
+    canon = canonical(common.trimmed(F.col("text")))
     hi, lo = wide_hash(canon)
-    bucket = docs.select(hi.alias("hi"), lo.alias("lo"), canon.alias("canon")).groupBy("hi", "lo")
+    bucket = common.take(docs, text="string").select(hi.alias("hi"), lo.alias("lo"), canon.alias("canon")).groupBy("hi", "lo")
     return bucket.agg(F.min("canon").alias("least"), F.max("canon").alias("greatest")).where("least <> greatest").select("hi", "lo")
 
 
@@ -52,7 +52,7 @@ def followed(docs: DataFrame) -> DataFrame:
     one place. Null ids come first; equal ids are in order of a hash of their texts.
     """
     spark = docs.sparkSession
-    rows = docs.select(common.column(docs, "doc_id", "long"), common.trimmed(common.column(docs, "text", "string")).alias("text"))
+    rows = common.take(docs, doc_id="long", text="string").select("doc_id", common.trimmed(F.col("text")).alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(_LEAST)))
     n = 4 * common.partitions(spark)
     # the driver holds one number for each range, and there are as many ranges as tasks

@@ -158,7 +158,7 @@ def identify(docs: DataFrame, held_out: Column | None = None, per_language: int
     score is below the calibrated level. A null doc_id is not held out. Whole texts are read;
     lang serves the learning alone. Repeated rows have a row each; an empty table gives none.
     """
-    docs = docs.select(common.column(docs, "doc_id", "long"), common.column(docs, "text", "string"), common.column(docs, "lang", "string"))
+    docs = common.take(docs, doc_id="long", text="string", lang="string")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)) if held_out is None else held_out
     languages, table, bias, temperature, level = fit(docs, ~out, per_language)
     shared = docs.sparkSession.sparkContext.broadcast((languages, np.ascontiguousarray(table.T), bias, temperature, level))

@@ -31,20 +31,17 @@ def quality_weight(text: Column) -> Column:
 
 def sized(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, source, size, key and bucket of every document, without its text; whole: also row, all that docs has."""
-    text = common.trimmed(common.column(docs, "text", "string"))
-    doc_id = common.column(docs, "doc_id", "long")
+    rows = common.take(docs, doc_id="long", text="string", source="string")
+    if whole:
+        at = {name: f"c{common.place(docs, name)}" for name in ("doc_id", "text", "source")}
+        held = common.plain(docs)
+        rows = held.select(F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).cast("string").alias("text"), F.col(at["source"]).cast("string").alias("source"), F.struct(*held.columns).alias("row"))
+    text = common.trimmed(F.col("text"))
     # 52 bits of the hash, moved off zero and one
-    u = (F.shiftrightunsigned(F.xxhash64(doc_id, text), 12) + F.lit(0.5)) / F.lit(float(2**52))
-    return (
-        docs.select(
-            doc_id.alias("doc_id"),
-            common.column(docs, "source", "string"),
-            F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size"),
-            (-F.ln(u) / quality_weight(text)).alias("key"),
-            *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if whole else []),
-        )
-        .withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
-    )
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", text), 12) + F.lit(0.5)) / F.lit(float(2**52))
+    size = F.regexp_count(text, F.lit(common.WORD)).cast("long")
+    rows = rows.select("doc_id", "source", size.alias("size"), (-F.ln(u) / quality_weight(text)).alias("key"), *(["row"] if whole else []))
+    return rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -121,4 +118,4 @@ def sample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     planned = scratch.save(plan(keyed, weights, most), "plan").withColumnRenamed("source", "s")
     rows = sized(docs, whole=True).join(planned, F.col("source").eqNullSafe(F.col("s")))
     taken = F.when(F.col("size") > 0, times()).otherwise(F.lit(0))
-    return rows.withColumn("taken", taken).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken")))).select("row.*")
+    return rows.withColumn("taken", taken).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken")))).select("row.*").toDF(*docs.columns)

@@ -145,4 +145,4 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
         if waiting:
             yield placed()
 
-    return docs.select(common.column(docs, "doc_id", "long"), common.column(docs, "text", "string")).mapInArrow(run, SCHEMA)
+    return common.take(docs, doc_id="long", text="string").mapInArrow(run, SCHEMA)

@@ -81,7 +81,20 @@ def described(docs: DataFrame) -> DataFrame:
                 x = pa.array(list(statistics(texts)), pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), x], names=["doc_id", "x"])
 
-    return docs.select(common.column(docs, "doc_id", "long"), common.column(docs, "text", "string")).mapInArrow(run, "doc_id long, x array<float>")
+    return common.take(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, x array<float>")
+
+
+def accepted(docs: DataFrame, model: "Model", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts score at least the threshold. Texts are not shuffled."""
+    at = common.place(docs, "text")
+    rows = common.plain(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in common.blocks(batch.column(at).cast(pa.string()), 1_000_000):
+                yield batch.slice(start, len(texts)).filter(pa.array(model.score(statistics(texts)) >= threshold))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 class Model:
@@ -104,6 +117,9 @@ class Model:
         return self.phi(x) @ self.ridge
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        """Chances of label 1; a half where nothing could be learned."""
+        if x.shape[1] != len(self.mean):
+            return np.full(len(x), 0.5)
         return np.clip(np.interp(self.raw(x), *self.knots), 0, 1)
 
 
@@ -138,7 +154,7 @@ def fit(stats: DataFrame, labels: DataFrame, held_out: Column | None = None, max
     Conflicting labels of one doc_id: the greater. Without both labels, every score is the mean label.
     """
     held_out = _held_out() if held_out is None else held_out
-    known = labels.select(common.column(labels, "doc_id", "long"), common.column(labels, "quality", "int")).where("quality in (0, 1) and doc_id is not null")
+    known = common.take(labels, doc_id="long", quality="int").where("quality in (0, 1) and doc_id is not null")
     known = known.where(~held_out).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, max_fit / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -204,7 +220,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
         for batch in batches:
             if len(batch):
                 x = _vectors(batch, 2)
-                score = model.score(x) if x.shape[1] == len(model.mean) else np.full(len(x), 0.5)
+                score = model.score(x)
                 arrays = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted"])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, fingerprints, language, mixing, packing, quality, secrets, substrings, topk
+from . import extraction, fingerprints, language, minhash, mixing, packing, quality, secrets, substrings, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(_read(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_read(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_secret_scan, op4_best_fit_packing, op5_html_extraction, op6_quality_classifier, op7_source_mixing, op8_language_id, op9_fingerprints, op10_exact_top_k)
+    f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_secret_scan, op4_best_fit_packing, op5_html_extraction, op6_quality_classifier, op7_source_mixing, op8_language_id, op9_fingerprints, op10_exact_top_k)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -144,12 +144,12 @@ def _controlled(tokens: Column) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """docs with scan_base and scan_all: arrays of (start, kind, end) in code points, ordered by start, then kind.
+    """docs, which has a string column text, with scan_base and scan_all: arrays of (start, kind, end) in code points, ordered by start, then kind.
 
     A null text counts as empty; a document without matches has empty arrays. Two spans may
     overlap; an added span that overlaps a base one is left out.
     """
-    rows = docs.withColumn("scan_text", common.trimmed(common.column(docs, "text", "string")))
+    rows = docs.withColumn("scan_text", common.trimmed(F.col("text")))
     text = F.col("scan_text")
     rows = rows.withColumn("scan_a", matches(text, ASSIGN, 0, 2, LEAST["assign"], r"(?i)password|passwd|secret|token|api_?key"))
     # a run of at least the length is the same as a run that is long enough
@@ -176,10 +176,10 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans; repeated rows have a row each; an empty table gives no
     rows; columns other than doc_id and text are not read.
     """
-    rows = spans(common.only(docs, "doc_id", "text"))
+    rows = spans(common.take(docs, doc_id="long", text="string"))
     count = lambda of, k: F.size(F.filter(of, lambda s: s["kind"] == k)).cast("long")
     return rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        "doc_id",
         *[count("scan_base", k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(joined(F.col("scan_base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("scan_all")).alias("spans"),
@@ -189,7 +189,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """docs, with each stretch of text that spans cover replaced by a mark; all else, and every other column, as it is."""
-    rows = spans(docs)
+    held = f"c{common.place(docs, 'text')}"
+    rows = spans(common.plain(docs).withColumn("text", F.col(held).cast("string")))
 
     def add(state: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
@@ -199,4 +200,4 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("scan_all", start, add, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     changed = F.when(F.size("scan_all") > 0, clean).otherwise(F.col("text"))
-    return rows.withColumn("text", changed).select(*[f"`{c}`" for c in docs.columns])
+    return rows.withColumn(held, changed).select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

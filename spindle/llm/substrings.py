@@ -211,7 +211,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bat
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "substrings")
-    docs = docs.select(common.column(docs, "doc_id", "long"), common.column(docs, "text", "string"))
+    docs = common.take(docs, doc_id="long", text="string")
     docs = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     found = scratch.save(segments(docs, window, anchor), "segments")
     cuts = found.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []

@@ -34,8 +34,7 @@ _FOUND = "query_id long, vec_id long, score long"
 
 def scaled(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
     """vec_id, v (integers, floor(scale * x)) and sq (squared length) of the vectors that take part."""
-    x = common.column(vectors, "embedding").cast("array<double>")
-    rows = vectors.select(common.column(vectors, "vec_id", "long"), x.alias("x")).where("x is not null")
+    rows = common.take(vectors, vec_id="long", embedding="array<double>").withColumnRenamed("embedding", "x").where("x is not null")
     ok = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = rows.where(ok).select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
     return rows.withColumn("sq", F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double")))
