@@ -38,6 +38,10 @@ def _paths(schema: T.StructType, before: tuple[str, ...] = ()) -> list[tuple[str
     return found
 
 
+def _getter(name: str):
+    return lambda x: x[name]
+
+
 def _values(schema: T.StructType, path: tuple[str, ...]) -> Column:
     """All values at a path, as an array of strings."""
     out, kind, many = None, schema, False
@@ -46,15 +50,15 @@ def _values(schema: T.StructType, path: tuple[str, ...]) -> Column:
         if out is None:
             out = F.col(f"`{name}`")
         elif many:
-            out = F.transform(out, lambda x, n=name: x.getField(n))
+            out = F.transform(out, _getter(name))
         else:
-            out = out.getField(name)
+            out = out[name]
         kind = field.dataType
         if isinstance(kind, T.ArrayType):
             out = F.flatten(out) if many else out
             many, kind = True, kind.elementType
     if isinstance(kind, T.StructType):
-        out = F.transform(out, lambda x: x.getField("_VALUE")) if many else out.getField("_VALUE")
+        out = F.transform(out, _getter("_VALUE")) if many else out["_VALUE"]
     return out.cast("array<string>") if many else F.when(out.isNotNull(), F.array(out.cast("string"))).otherwise(F.array().cast("array<string>"))
 
 

@@ -16,5 +16,10 @@ def apply_udx(stream: DataFrame, calls: list[udx.Call], keep: list[str], block:
 
 def load(stream: DataFrame, catalog: Catalog, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append a stream's rows to a table, by position, a micro-batch at a time."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: catalog.append(df, table))
+
+    def append(df: DataFrame, _: int) -> None:
+        catalog.append(df, table)
+        catalog.spark.catalog.refreshTable(table)  # the batch runs in a session of its own
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
     return (writer.trigger(availableNow=True) if once else writer).start()
