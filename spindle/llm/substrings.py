@@ -35,6 +35,8 @@ ANCHOR = 10
 #: Batches that a whole table is taken in, by ranges of doc_id, and runs of one level that are merged into one of the next.
 BATCHES = 2
 FANOUT = 2
+#: Tasks that look up one window.
+SALTS = 4
 
 _SALT = np.uint64(0xA0761D6478BD642F)
 _KEY = ("m", "s1", "s2", "n")
@@ -190,7 +192,10 @@ def verified(docs: DataFrame, doubtful: DataFrame, window: int = WINDOW) -> Data
     listed = _joined(docs, doubtful.distinct())
     rows = listed.mapInArrow(run, "w1 long, w2 long, doc long, t long, start int")
     least = rows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w1", "w2", "least")
-    return rows.join(least, ["w1", "w2"]).where("least < doc").select("doc", "t", "start", F.lit(1).alias("n"))
+    # a window that very many documents have is looked up by several tasks
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["w1", "w2", "salt"]).where("least < doc").select("doc", "t", "start", F.lit(1).alias("n"))
 
 
 def _joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
