@@ -139,9 +139,9 @@ class Index:
         known = self.scratch.save(known, f"{tag}-known") if old else known
         several = known.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
         doubtful = known.join(several, "m", "left_semi").select("doc", "t", "start", "n")
-        f = known.select(*_KEY, F.col("doc").alias("fdoc"), F.col("t").alias("ft"))
-        # first documents' own rows need no look-up
-        held = batch.join(f, list(_KEY)).where("fdoc < doc or (fdoc = doc and ft <> t)")
+        f = known.select(*_KEY, F.col("doc").alias("fdoc"), F.col("t").alias("ft"), F.col("start").alias("fstart"))
+        # a first document may hold a segment more than once: its other places are as doubtful as the first
+        held = batch.join(f, list(_KEY)).where("fdoc < doc or (fdoc = doc and (ft <> t or fstart <> start))")
         held = self.scratch.save(held.select("doc", "t", "start", "n", (F.col("fdoc") < F.col("doc")).alias("sure")), f"{tag}-held")
         doubtful = self.scratch.save(doubtful.unionAll(held.where("not sure").select("doc", "t", "start", "n")), f"{tag}-doubtful")
         if old:
