@@ -6,12 +6,14 @@ arrived first, and a shingle's process ends as soon as its next arrival is later
 register's first. Two texts agree in a register with the probability Jaccard similarity of
 their weighted shingles (the usual Jaccard where no shingle repeats).
 
-Registers are banded, and pairs that share a band are verified by the exact similarity. Not all
-pairs of a band are made. Equal texts are one node from the start. Then, in each band with several
-components, a few documents are compared with all others; components are found; and again with
-further documents of all but the largest component, until every pair of documents in
-different components has had one side compared. So no link is lost, and in a group of near copies
-about as many pairs are made as it has documents.
+Registers are banded. Documents that share a band value are a bucket, and buckets with the same
+smallest document make one group. Verification compares documents of a group by their exact
+similarity, but makes no pairs: equal texts are one node from the start; a group's smallest document
+is held against all its others; components are found; and then, round by round, some
+documents outside a group's largest component are held against those in other components, until
+every two documents of different components have been compared. So no link is lost. A
+comparison keeps the shingles of a bounded number of documents as an inverted index while the others
+stream past, in tasks of bounded size, and puts out links alone.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from .components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-#: Documents that a band compares with all its others in the second round; twice as many in each round after.
-CENTRES = 16
-#: Documents in one verification group; a centre with more of them has several groups.
-GROUP = 64
+#: Documents that a group holds against its others in one round.
+CENTRES = 256
+#: Documents that stream past in one piece of a group.
+PIECE = 512
 
 _NODES = "doc long, c1 long, c2 long, bands array<long>"
 
@@ -116,36 +118,83 @@ def nodes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGL
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, _NODES)
 
 
-def linked(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is at least `least`; a is a centre with perhaps very many b.
+class _Held:
+    """Documents held in memory, as an inverted index from shingle to document."""
 
-    A centre's text goes once to each group of about GROUP documents, and groups stream through
-    their tasks one text at a time.
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.rows = rows
+        values = np.concatenate([r[2] for r in rows])
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])[order]
+        self.share = np.concatenate([r[3] / r[3].sum() for r in rows])[order]
+        self.size = np.array([len(r[2]) for r in rows])
+        self.single = np.array([r[3].max() == 1 for r in rows])
+        self.comp = np.array([r[1] for r in rows])
+        self.met: set[tuple[int, int]] = set()
+
+    def links(self, node: int, comp: int, value: np.ndarray, count: np.ndarray, least: float) -> list[tuple[int, int]]:
+        """Links from held documents of other components to this one; of each held document, one to each component."""
+        low, high = np.searchsorted(self.values, value), np.searchsorted(self.values, value, side="right")
+        n = high - low
+        if not n.any():
+            return []
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner = self.owner[at]
+        # similarity is at most the mass that two documents share
+        shared = np.bincount(owner, np.minimum(self.share[at], np.repeat(count / count.sum(), n)), len(self.rows))
+        near = np.flatnonzero((shared >= least - 1e-9) & (self.comp != comp))
+        if not len(near):
+            return []
+        common_ = np.bincount(owner, minlength=len(self.rows))
+        out = []
+        for i in near:
+            if (i, comp) in self.met:
+                continue
+            if self.single[i] and count.max() == 1:
+                value_ = common_[i] / (self.size[i] + len(value) - common_[i])
+            else:
+                value_ = similarity(self.rows[i][2:], (value, count))
+            if value_ >= least - 1e-9:
+                self.met.add((i, comp))
+                out.append((self.rows[i][0], node))
+        return out
+
+
+def linked(centres: DataFrame, members: DataFrame, texts: DataFrame, least: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between centres and members (g, node, comp) of the same group g and different components.
+
+    A group streams past its centres in pieces of about PIECE members, each with its own copy of the
+    centres, of which a round has at most CENTRES.
     """
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
-    salted = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / GROUP)).alias("salt"))
+    spark = texts.sparkSession
+    pieces = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))
     t = texts.select(F.col("doc_id").alias("own"), "text")
-    others = salted.join(t, F.col("b") == F.col("own")).select("a", "salt", F.lit(1).alias("role"), "own", "text")
-    centres = salted.select("a", "salt").distinct().join(t, F.col("a") == F.col("own")).select("a", "salt", F.lit(0).alias("role"), "own", "text")
-    rows = others.unionAll(centres).repartition(common.partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role")
+    salted = members.join(pieces, "g").select("g", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("salt"), F.lit(1).alias("role"), "node", "comp")
+    every = centres.join(pieces, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("salt"), F.lit(0).alias("role"), "node", "comp")
+    rows = salted.unionAll(every).join(t, F.col("node") == F.col("own")).select("g", "salt", "role", "node", "comp", "text")
+    rows = rows.repartition(common.partitions(spark), "g", "salt").sortWithinPartitions("g", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, centre = None, None
+        key, waiting, held = None, [], None
         for batch in batches:
-            a, salt, role, own = (batch.column(i).to_pylist() for i in range(4))
+            g, salt, role, node, comp = (batch.column(i).to_pylist() for i in range(5))
             out: list[tuple[int, int]] = []
-            for at, texts in common.blocks(batch.column(4), 1_000_000):
-                h, first, *_ = common.word_hashes(texts)
+            for at, block in common.blocks(batch.column(5), 1_000_000):
+                h, first, *_ = common.word_hashes(block)
                 text, value, count = shingles(h, first, k)
-                bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-                for i in range(len(texts)):
-                    j, mine = at + i, (value[bounds[i] : bounds[i + 1]], count[bounds[i] : bounds[i + 1]])
+                bounds = np.searchsorted(text, np.arange(len(block) + 1))
+                for i in range(len(block)):
+                    j, mine = at + i, slice(bounds[i], bounds[i + 1])
+                    if key != (g[j], salt[j]):
+                        key, waiting, held = (g[j], salt[j]), [], None
                     if role[j] == 0:
-                        key, centre = (a[j], salt[j]), (mine[0].copy(), mine[1].copy())
-                    elif key == (a[j], salt[j]) and similarity(centre, mine) >= least - 1e-9:
-                        out.append((a[j], own[j]))
-            x, y = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                        waiting.append((node[j], comp[j], value[mine].copy(), count[mine].copy()))
+                    elif waiting:
+                        held = held or _Held(waiting)
+                        out += held.links(node[j], comp[j], value[mine], count[mine], least)
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -167,35 +216,35 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     band = first.where("doc = node").select("node", F.explode("bands").alias("band")).distinct()
     busy = band.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").select("band", "centre")
     busy = scratch.save(band.join(busy, "band"), "bands")
-    involved = busy.select(F.col("node").alias("doc_id")).distinct()
+    # a group: all documents that share a bucket with its smallest
+    group = scratch.save(busy.select(F.col("centre").alias("g"), "node").distinct(), "groups")
+    involved = group.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.join(involved, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(every) else docs.join(involved, "doc_id")
     texts = scratch.save(texts.select("doc_id", "text"), "texts")
-    edges = scratch.save(linked(busy.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), texts, least, k), "links0")
+    alone = group.select("g", "node", F.col("node").alias("comp"))
+    edges = scratch.save(linked(alone.where("g = node"), alone.where("g <> node"), texts, least, k), "links0")
     parts = components(edges, scratch, "parts0")
-    # what has been compared with its whole band
-    asked = busy.select("band", F.col("centre").alias("node")).distinct()
-    round_, many = 0, CENTRES
+    asked = group.where("g = node")  # what has been held against its whole group
+    round_ = 0
     while True:
         round_ += 1
         label = parts.select(F.col("node").alias("n"), "comp")
-        members = busy.select("band", "node").join(label, F.col("node") == F.col("n"), "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-        several = members.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-        members = scratch.save(members.join(several, "band", "left_semi"), f"members{round_}")
-        waiting = members.join(asked, ["band", "node"], "left_anti")
-        home = waiting.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("home"))
-        rest = waiting.join(home, "band").where("comp <> home")
-        next_ = rest.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy("node"))).where(F.col("r") <= many).select("band", F.col("node").alias("a"), F.col("comp").alias("ca"))
+        members = group.join(label, F.col("node") == F.col("n"), "left").select("g", "node", F.coalesce("comp", "node").alias("comp"))
+        several = members.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("g")
+        members = scratch.save(members.join(several, "g", "left_semi"), f"members{round_}")
+        waiting = members.join(asked, ["g", "node"], "left_anti")
+        home = waiting.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("home"))
+        rest = waiting.join(home, "g").where("comp <> home")
+        next_ = rest.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("node"))).where(F.col("r") <= CENTRES).select("g", "node", "comp")
         next_ = scratch.save(next_, f"centres{round_}")
         if next_.isEmpty():
             break
-        met = next_.join(members, "band").where("ca <> comp").select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y"), "a", F.col("node").alias("b"))
-        pairs = met.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        more = scratch.save(linked(pairs, texts, least, k), f"links{round_}")
-        asked = scratch.save(asked.unionAll(next_.select("band", F.col("a").alias("node"))), f"asked{round_}")
+        open_ = members.join(next_.select("g").distinct(), "g", "left_semi")
+        more = scratch.save(linked(next_, open_, texts, least, k), f"links{round_}")
+        asked = scratch.save(asked.unionAll(next_.select("g", "node")), f"asked{round_}")
         if not more.isEmpty():
             tied = parts.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
             parts = components(tied.unionAll(more), scratch, f"parts{round_}")
-        many *= 2
     label = parts.select(F.col("node").alias("n"), "comp")
     found = first.select("doc", "node").join(label, F.col("node") == F.col("n"), "left").select("doc", F.coalesce("comp", "node").alias("class_id"))
     if _repeats(every):
