@@ -62,12 +62,12 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 
 class _Block:
-    __slots__ = ("text", "linked", "bad", "main", "heading")
+    __slots__ = ("text", "linked", "bad", "main", "heading", "home")
 
-    def __init__(self, bad: bool, main: bool, heading: bool):
+    def __init__(self, bad: bool, main: bool, heading: bool, home: int):
         self.text: list[str] = []
         self.linked = 0
-        self.bad, self.main, self.heading = bad, main, heading
+        self.bad, self.main, self.heading, self.home = bad, main, heading, home
 
 
 def _cues(attrs: str) -> tuple[set[str], bool, str]:
@@ -93,8 +93,10 @@ def _cues(attrs: str) -> tuple[set[str], bool, str]:
 def cut(page: str) -> list[_Block]:
     """Blocks of a page in order, each with where it stands."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]  # tag, bad, main, in a header, heading
-    block = _Block(False, False, False)
+    # tag, bad, main, in a header, heading, number of the element that holds its blocks
+    stack: list[tuple[str, bool, bool, bool, bool, int]] = [("", False, False, False, False, 0)]
+    homes = 0
+    block = _Block(False, False, False, 0)
     links = 0
     at, end = 0, len(page)
 
@@ -102,8 +104,8 @@ def cut(page: str) -> list[_Block]:
         nonlocal block
         if block.text:
             out.append(block)
-        _, bad, main, header, heading = stack[-1]
-        block = _Block(bad or (header and not (main and heading)), main, heading)
+        _, bad, main, header, heading, home = stack[-1]
+        block = _Block(bad or (header and not (main and heading)), main, heading, home)
 
     def text(part: str) -> None:
         if part:
@@ -168,9 +170,12 @@ def cut(page: str) -> list[_Block]:
                         if stack[i][0] in SAME_WITHIN:
                             break
                 links = 0 if tag != "a" else links
-            _, bad, main, header, heading = stack[-1]
+            _, bad, main, header, heading, home = stack[-1]
             header = header or tag == "header" or "header" in words and not is_main
-            stack.append((tag, bad or cue, main or is_main and not cue, header, heading or tag in HEADINGS))
+            if tag != "p" and tag not in HEADINGS:
+                homes += 1
+                home = homes
+            stack.append((tag, bad or cue, main or is_main and not cue, header, heading or tag in HEADINGS, home))
             fresh()
     if at < end:
         text(page[at:])
@@ -185,7 +190,7 @@ def _clean(parts: list[str]) -> str:
 
 def first_pass(block: _Block, text: str, has_main: bool) -> int:
     """GOOD, BAD or OPEN (ambiguous)."""
-    if block.bad or (has_main and not block.main):
+    if has_main and not block.main:
         return BAD
     if block.linked > LINKED * max(1, sum(map(len, block.text))):
         return BAD if not block.main or len(text) < LONG else OPEN
@@ -200,11 +205,12 @@ def first_pass(block: _Block, text: str, has_main: bool) -> int:
     return OPEN if stops >= FEW_STOPS else BAD
 
 
-def second_pass(labels: list[int], main: list[bool]) -> list[bool]:
+def second_pass(labels: list[int], main: list[bool], home: list[int]) -> list[bool]:
     """Whether each block is kept: an open one takes the label of its nearest decided neighbour.
 
-    Neighbours count within the article only, where there is one; equally near ones that differ,
-    or none at all, leave an open block in the article and out elsewhere.
+    Neighbours count within the article only, where there is one; of two equally near ones that
+    differ, the one in the same element counts; where neither or both are, or there is none,
+    an open block stays in the article and goes elsewhere.
     """
     n = len(labels)
     before, after = [None] * n, [None] * n
@@ -219,11 +225,11 @@ def second_pass(labels: list[int], main: list[bool]) -> list[bool]:
         if label != OPEN:
             kept.append(label == GOOD)
             continue
-        near = sorted((abs(i - j), labels[j]) for j in (before[i], after[i]) if j is not None and main[j] == main[i])
-        if not near or len(near) == 2 and near[0][0] == near[1][0] and near[0][1] != near[1][1]:
+        near = sorted((abs(i - j), home[j] != home[i], labels[j]) for j in (before[i], after[i]) if j is not None and main[j] == main[i])
+        if not near or len(near) == 2 and near[0][:2] == near[1][:2] and near[0][2] != near[1][2]:
             kept.append(main[i])
         else:
-            kept.append(near[0][1] == GOOD)
+            kept.append(near[0][2] == GOOD)
     return kept
 
 
@@ -233,8 +239,9 @@ def main_text(page: str | None) -> str:
         return ""
     blocks = [(b, t) for b in cut(page) if (t := _clean(b.text))]
     has_main = any(b.main and not b.bad for b, _ in blocks)
+    blocks = [(b, t) for b, t in blocks if not b.bad]  # these stand where no text does, so they are no one's neighbours
     labels = [first_pass(b, t, has_main) for b, t in blocks]
-    kept = second_pass(labels, [b.main for b, _ in blocks])
+    kept = second_pass(labels, [b.main for b, _ in blocks], [b.home for b, _ in blocks])
     return " ".join(t for (_, t), keep in zip(blocks, kept) if keep)
 
 

@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Shortest token that the battery can tell from text, and the share of false discoveries allowed.
 TOKEN_LENGTH = 24
-FALSE_SHARE = 0.001
+FALSE_SHARE = 0.0003
 TOKEN = rf"[A-Za-z0-9+/_-]{{{TOKEN_LENGTH},}}"
 
 #: Alphabets by inferred encoding.
