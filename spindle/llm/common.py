@@ -68,6 +68,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks(spark: SparkSession, rows: int, each: int) -> int:
+    """As many tasks as rows call for, at most as many as a shuffle has."""
+    return max(1, min(partitions(spark), -(-rows // each)))
+
+
 # --- hashing --------------------------------------------------------------------------------
 
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -35,6 +35,8 @@ BANDS, ROWS = 20, 4
 CENTRES = 256
 #: Documents that stream past in one piece of a group.
 PIECE = 512
+#: Rows of numbers that one task takes in the steps between comparisons.
+ROWS_A_TASK = 50_000
 
 _NODES = "doc long, c1 long, c2 long, bands array<long>"
 
@@ -218,30 +220,34 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     busy = scratch.save(band.join(busy, "band"), "bands")
     # a group: all documents that share a bucket with its smallest
     group = scratch.save(busy.select(F.col("centre").alias("g"), "node").distinct(), "groups")
-    involved = group.select(F.col("node").alias("doc_id")).distinct()
+    # one plan at every size: what is small here is large elsewhere
+    involved = group.select(F.col("node").alias("doc_id")).distinct().hint("merge")
     texts = docs.join(involved, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(every) else docs.join(involved, "doc_id")
     texts = scratch.save(texts.select("doc_id", "text"), "texts")
     alone = group.select("g", "node", F.col("node").alias("comp"))
     edges = scratch.save(linked(alone.where("g = node"), alone.where("g <> node"), texts, least, k), "links0")
     parts = components(edges, scratch, "parts0")
+    # a group's rows are numbers only; steps on them need tasks by their count
+    few = common.tasks(docs.sparkSession, group.count(), ROWS_A_TASK)
+    group = group.coalesce(few)
     asked = group.where("g = node")  # what has been held against its whole group
     round_ = 0
     while True:
         round_ += 1
         label = parts.select(F.col("node").alias("n"), "comp")
-        members = group.join(label, F.col("node") == F.col("n"), "left").select("g", "node", F.coalesce("comp", "node").alias("comp"))
+        members = group.join(label.coalesce(few), F.col("node") == F.col("n"), "left").select("g", "node", F.coalesce("comp", "node").alias("comp")).coalesce(few)
         several = members.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("g")
-        members = scratch.save(members.join(several, "g", "left_semi"), f"members{round_}")
-        waiting = members.join(asked, ["g", "node"], "left_anti")
+        members = scratch.save(members.join(several.coalesce(few), "g", "left_semi").coalesce(few), f"members{round_}").coalesce(few)
+        waiting = members.join(asked.coalesce(few), ["g", "node"], "left_anti").coalesce(few)
         home = waiting.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("home"))
         rest = waiting.join(home, "g").where("comp <> home")
         next_ = rest.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("node"))).where(F.col("r") <= CENTRES).select("g", "node", "comp")
-        next_ = scratch.save(next_, f"centres{round_}")
+        next_ = scratch.save(next_.coalesce(few), f"centres{round_}").coalesce(few)
         if next_.isEmpty():
             break
         open_ = members.join(next_.select("g").distinct(), "g", "left_semi")
         more = scratch.save(linked(next_, open_, texts, least, k), f"links{round_}")
-        asked = scratch.save(asked.unionAll(next_.select("g", "node")), f"asked{round_}")
+        asked = scratch.save(asked.coalesce(few).unionAll(next_.select("g", "node")), f"asked{round_}")
         if not more.isEmpty():
             tied = parts.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
             parts = components(tied.unionAll(more), scratch, f"parts{round_}")

@@ -266,11 +266,11 @@ def test_mixing(documents, corpus):
     for _, text, _, source, _ in corpus:
         sizes[source] += len(brute.words(text))
     want = brute.mix_targets(sizes)
-    by_target = {round(t, 6): s for s, t in want.items()}
+    of = {r[0]: r[3] for r in corpus}
     taken, largest = Counter(), Counter()
     for r in rows:
-        s = by_target[round(r.target, 6)]
-        assert r.source_size == sizes[s] and 0 <= r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0)
+        s = of[r.doc_id]
+        assert abs(r.target - want[s]) < 1e-6 and r.source_size == sizes[s] and 0 <= r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0)
         taken[s] += r.taken
         largest[s] = max(largest[s], r.size)
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in want)
