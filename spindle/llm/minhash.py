@@ -236,8 +236,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
         round_ += 1
         label = parts.select(F.col("node").alias("n"), "comp")
         members = group.join(label.coalesce(few), F.col("node") == F.col("n"), "left").select("g", "node", F.coalesce("comp", "node").alias("comp")).coalesce(few)
-        several = members.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("g")
-        members = scratch.save(members.join(several.coalesce(few), "g", "left_semi").coalesce(few), f"members{round_}").coalesce(few)
+        members = scratch.save(members, f"members{round_}").coalesce(few)
         waiting = members.join(asked.coalesce(few), ["g", "node"], "left_anti").coalesce(few)
         home = waiting.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("home"))
         rest = waiting.join(home, "g").where("comp <> home")
@@ -245,7 +244,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
         next_ = scratch.save(next_.coalesce(few), f"centres{round_}").coalesce(few)
         if next_.isEmpty():
             break
-        open_ = members.join(next_.select("g").distinct(), "g", "left_semi")
+        # the other groups have nothing left to compare, and components only grow together
+        open_ = scratch.save(members.join(next_.select("g").distinct(), "g", "left_semi").coalesce(few), f"open{round_}")
+        group = open_.select("g", "node").coalesce(few)
         more = scratch.save(linked(next_, open_, texts, least, k), f"links{round_}")
         asked = scratch.save(asked.coalesce(few).unionAll(next_.select("g", "node")), f"asked{round_}")
         if not more.isEmpty():
