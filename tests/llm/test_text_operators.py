@@ -130,6 +130,33 @@ def test_randomness_battery(spark):
     assert all(not found[len(random_) + i] for i in range(len(plain)))
 
 
+def test_random_tokens_of_every_encoding_are_found(spark):
+    """Recall by encoding and length, alone and among tokens that are no secrets."""
+    rng = np.random.default_rng(11)
+    alphabets = {"hex": "0123456789ABCDEF", "base32": secrets.BASE32_ALPHABET, "base36": secrets.BASE36_ALPHABET, "upper36": secrets.BASE36_ALPHABET.upper(), "dashed": secrets.BASE36_ALPHABET}
+    failing = " ".join(f"https/www/example/path/of/{w}/index" for w in "abcdefghij" * 2)
+    rows, cells, n = [], [], 100
+    for name, alphabet in alphabets.items():
+        for size in (24, 32, 40):
+            for other in (False, True):
+                for _ in range(n):
+                    t = "".join(rng.choice(list(alphabet), size))
+                    t = "-".join(t[i : i + 8] for i in range(0, size, 8)) if name == "dashed" else t
+                    rows.append((len(rows), f"{t} {failing if other else ''}"))
+                    cells.append((name, size, other, len(t)))
+    found = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "spans").collect()}
+    hits = Counter(c[:3] for i, c in enumerate(cells) if found[i] == f"random:0:{c[3]}")
+    recall = {c[:3]: hits[c[:3]] / n for c in cells}
+    least = {24: 0.72, 32: 0.85, 40: 0.93}
+    assert not {c: r for c, r in recall.items() if r < least[c[1]]}, recall
+
+
+def test_names_with_digits_are_no_secrets(spark):
+    plain = ["how-to-build-a-house-in-2020-with-10-tips", "user2account3settings4page5index", "20zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz", "2-3-4-5-6-7-2-3-4-5-6-7-2", "-----------------------7", "MAXIMUM_NUMBER_OF_CONNECTIONS_2", "img_20200101_123456_holiday_photo", "-------------------A3---"]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")).collect()
+    assert not [(plain[r.doc_id], r.spans) for r in rows if r.spans]
+
+
 def test_redaction(spark, documents):
     df = spark.createDataFrame([(1, "a token = abcdefgh! b", "k"), (2, None, "k"), (3, "plain", "k"), (4, "secret: " + "ab" * 20, "k")], "doc_id long, text string, spans string")
     rows = {r.doc_id: r for r in secrets.redact(df).collect()}
