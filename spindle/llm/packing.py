@@ -44,6 +44,7 @@ class Tokens(dict):
 
     def __init__(self, name: str = TOKENIZER):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -52,6 +53,9 @@ class Tokens(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         super().__init__()
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+            self.added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in json.load(f)["added_tokens"]}
+        self.cuts = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
 
     def __missing__(self, part: str) -> bytes:
         ids = self.encode(part)
@@ -67,6 +71,14 @@ class Tokens(dict):
             return b"".join([i.to_bytes(4, "little") for i in self.encode(text)])
         return b"".join(map(self.__getitem__, _PART.findall(text)))
 
+    def whole(self, text: str) -> bytes:
+        """ids(), but the tokenizer's added tokens, where they stand in the text, are one id each, as in the tokenizers library."""
+        out, at = b"", 0
+        for m in self.cuts.finditer(text):
+            out += self.ids(text[at : m.start()]) + self.added[m[0]]
+            at = m.end()
+        return out + self.ids(text[at:]) if at else self.ids(text)
+
 
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: only a longer one is cut; the first piece takes the odd rest."""
@@ -137,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
             ids = batch.column(0)
             for at, texts in common.blocks(batch.column(1)):
                 for doc_id, text in zip(ids.slice(at, len(texts)).to_pylist(), texts):
-                    found = tokens.ids(text or "") + end
+                    found = tokens.whole(text or "") + end
                     for k, (start, n) in enumerate(cut(len(found) // 4, capacity)):
                         waiting.append((doc_id, k, start, n, zlib.crc32(found[4 * start : 4 * (start + n)])))
                     if len(waiting) >= BLOCK:

@@ -208,6 +208,19 @@ def test_tokens_are_those_of_the_library(text):
     assert np.frombuffer(packing.Tokens().ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_one_id(spark):
+    """As the library gives it by add_special_tokens=False alone."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "a\t<|endoftext|>\u00a0b <|endoftext", "plain"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids + [0]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_best_fit():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 4, 9, 8, 1)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0), (2, 9)]
