@@ -10,6 +10,7 @@ by a temperature fitted on rows kept out of the training, which also set the rej
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -26,9 +27,10 @@ SIZES = (2, 3, 4)
 DIMENSIONS = 16
 EPOCHS = 6
 RATE = 1.0
-#: Bounds of the training sample: documents for each language, and languages (the most frequent).
+#: Bounds of the training sample: documents for each language, and of all; past the second, each of many languages has fewer, but some.
 PER_LANGUAGE = 800
-MOST_LANGUAGES = 100
+MOST_SAMPLED = 80_000
+LEAST_A_LANGUAGE = 20
 #: What accepted predictions are to reach on the rows kept out of the training.
 ACCEPTED_ACCURACY = 0.99
 
@@ -119,16 +121,17 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, trained: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
     """Languages, score table, bias, temperature and rejection level, learned from rows where `trained` holds.
 
-    The sample is by a hash of doc_id, about per_language rows of each language, whatever the table's size.
+    Every lang is learned. The sample is by a hash of doc_id, about per_language rows of each language, whatever
+    the table's size; of more languages than MOST_SAMPLED allows for, fewer rows each.
     """
     rows = docs.where(trained & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0
-    of = F.lit(0)
-    for r in counts:
-        of = F.when(F.col("lang") == r["lang"], int(1_000_000 * min(1.0, per_language / r["count"]))).otherwise(of)
+    per_language = min(per_language, max(LEAST_A_LANGUAGE, MOST_SAMPLED // len(languages)))
+    shares = [(r["lang"], int(1_000_000 * min(1.0, per_language / r["count"])) or 1) for r in counts]
+    of = F.element_at(F.from_json(F.lit(json.dumps(dict(shares))), "map<string,int>"), F.col("lang"))
     picked = rows.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000)) < of).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +144,8 @@ def fit(docs: DataFrame, trained: Column, per_language: int = PER_LANGUAGE) -> t
     got = picked.mapInArrow(run, "doc_id long, lang string, ids array<int>, share array<float>").toPandas()
     got = got.sort_values(["doc_id", "lang"], kind="stable", na_position="first")
     x = [(np.asarray(i, np.int64), np.asarray(s, np.float32)) for i, s in zip(got["ids"], got["share"])]
-    y = np.array([languages.index(v) for v in got["lang"]], np.int64)
+    number = {v: k for k, v in enumerate(languages)}
+    y = np.array([number[v] for v in got["lang"]], np.int64)
     out = np.arange(len(x)) % 5 == 4  # every fifth is for calibration alone
     table, bias = train([x[i] for i in np.flatnonzero(~out)], y[~out], len(languages))
     z = np.array([s @ table[i] + bias for i, s in (x[j] for j in np.flatnonzero(out))]).reshape(-1, len(languages))

@@ -291,6 +291,16 @@ def test_language(spark):
     assert np.mean(held) >= 0.98 and all(found[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows)
 
 
+def test_more_languages_than_a_hundred(spark):
+    rng = np.random.default_rng(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 115 * 6)]
+    own = {f"l{k:03}": letters[6 * k : 6 * k + 6] for k in range(115)}
+    rows = [(i, " ".join("".join(rng.choice(own[lang], 3)) for _ in range(30)), lang) for i in range(115 * 20) for lang in [f"l{i % 115:03}"]]
+    found = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    predicted = {r.doc_id: r.lang_pred for r in found}
+    assert len(set(predicted.values())) == 115 and np.mean([predicted[i] == lang for i, _, lang in rows]) >= 0.95
+
+
 def test_language_without_any(spark, empty):
     assert language.identify(empty).count() == 0
     out = language.identify(spark.createDataFrame([(1, "word", None)], "doc_id long, text string, lang string")).first()
