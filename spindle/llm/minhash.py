@@ -211,6 +211,30 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     """
     scratch = common.Scratch(docs.sparkSession, "minhash")
     docs = common.take(docs, doc_id="long", text="string")
+    if not _repeats(docs.where("doc_id is not null"), "doc_id"):
+        return _classes(docs, scratch, least, bands, rows, k)
+    # each of a doc_id's different texts is compared under a number of its own, and all are tied at the end
+    text = F.coalesce("text", F.lit(""))
+    several = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("several")).agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high").select("several")
+    told = docs.where("doc_id is not null").select("doc_id", text.alias("text")).distinct().join(several, F.col("doc_id") == F.col("several"), "left")
+    seed = 0
+    while True:
+        own = F.when(F.col("several").isNull(), F.col("doc_id")).otherwise(F.xxhash64(F.lit(seed), "doc_id", "text"))
+        keyed = scratch.save(told.select("doc_id", own.alias("own"), "text"), f"keyed{seed}")
+        if not _repeats(keyed, "own"):
+            break
+        seed += 1  # a number that is taken
+    found = _classes(keyed.select(F.col("own").alias("doc_id"), "text"), scratch, least, bands, rows, k).select(F.col("doc_id").alias("o"), "class_id")
+    held = scratch.save(keyed.select("doc_id", "own").join(found, F.col("own") == F.col("o")).select("doc_id", "class_id"), "held")
+    smallest = held.groupBy(F.col("class_id").alias("c")).agg(F.min("doc_id").alias("b"))
+    ties = held.join(smallest, F.col("class_id") == F.col("c")).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    parts = components(ties, scratch, "ties").select(F.col("node").alias("n"), "comp")
+    out = docs.select("doc_id").join(parts, F.col("doc_id") == F.col("n"), "left")
+    return out.select("doc_id", F.coalesce("comp", "doc_id").alias("class_id"))
+
+
+def _classes(docs: DataFrame, scratch: common.Scratch, least: float, bands: int, rows: int, k: int) -> DataFrame:
+    """classes(), of rows of different doc_ids, null ones aside."""
     every = scratch.save(nodes(docs, bands, rows, k), "nodes")
     # one node for all documents of the same words
     apart = every.where("c1 is not null").groupBy("c1", "c2").agg(F.min("doc").alias("node"))
@@ -222,8 +246,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     group = scratch.save(busy.select(F.col("centre").alias("g"), "node").distinct(), "groups")
     # one plan at every size: what is small here is large elsewhere
     involved = group.select(F.col("node").alias("doc_id")).distinct().hint("merge")
-    texts = docs.join(involved, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(every) else docs.join(involved, "doc_id")
-    texts = scratch.save(texts.select("doc_id", "text"), "texts")
+    texts = scratch.save(docs.join(involved, "doc_id").select("doc_id", "text"), "texts")
     alone = group.select("g", "node", F.col("node").alias("comp"))
     edges = scratch.save(linked(alone.where("g = node"), alone.where("g <> node"), texts, least, k), "links0")
     parts = components(edges, scratch, "parts0")
@@ -254,23 +277,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
             parts = components(tied.unionAll(more), scratch, f"parts{round_}")
     label = parts.select(F.col("node").alias("n"), "comp")
     found = first.select("doc", "node").join(label, F.col("node") == F.col("n"), "left").select("doc", F.coalesce("comp", "node").alias("class_id"))
-    if _repeats(every):
-        # rows of one doc_id with different words tie their classes together
-        ties = found.groupBy("doc").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a < b").select("a", "b")
-        again = components(ties, scratch, "ties").select(F.col("node").alias("n"), "comp")
-        found = found.join(again, F.col("class_id") == F.col("n"), "left").select("doc", F.coalesce("comp", "class_id").alias("class_id"))
-        alone = every.select("doc").join(found.select("doc").distinct(), "doc", "left_anti").select("doc", F.col("doc").alias("class_id"))
-        blank = every.where("c1 is null").select("doc").join(found.groupBy("doc").agg(F.min("class_id").alias("class_id")), "doc")
-        found = found.unionAll(alone).unionAll(blank.select("doc", "class_id"))
-    else:
-        found = found.unionAll(every.where("c1 is null").select("doc", F.col("doc").alias("class_id")))
+    found = found.unionAll(every.where("c1 is null").select("doc", F.col("doc").alias("class_id")))
     nowhere = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return found.select(F.col("doc").alias("doc_id"), "class_id").unionAll(nowhere)
 
 
-def _repeats(every: DataFrame) -> bool:
-    """Whether any doc_id stands in several rows."""
-    return not every.groupBy("doc").count().where("count > 1").isEmpty()
+def _repeats(every: DataFrame, key: str) -> bool:
+    """Whether any key stands in several rows."""
+    return not every.groupBy(key).count().where("count > 1").isEmpty()
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:

@@ -81,6 +81,15 @@ def test_chains_are_one_class(spark):
     assert got(minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id") == brute.classes(rows)
 
 
+def test_every_text_of_a_doc_id_is_compared(spark):
+    """A near copy of a doc_id's second text, and an exact copy of another's, belong to its class."""
+    of = lambda c, *other: " ".join(other[0] if other and i == 60 else f"{c}{i}" for i in range(120))
+    rows = [(5, of("a")), (5, of("b")), (7, of("b", "x")), (9, of("c")), (9, of("d")), (9, of("d")), (9, None), (3, of("d")), (8, of("a", "y")), (4, of("z")), (11, of("c", "q")), (None, of("b")), (12, None), (12, "")]
+    out = got(minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id")
+    want = {5: 5, 7: 5, 8: 5, 9: 3, 3: 3, 11: 3, 4: 4, 12: 12, None: None}
+    assert out == sorted(((d, want[d]) for d, _ in rows), key=str)
+
+
 def test_registers_estimate_the_similarity():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 2**63, 300).astype(np.uint64)
