@@ -62,12 +62,12 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 
 class _Block:
-    __slots__ = ("text", "linked", "bad", "main", "heading", "home")
+    __slots__ = ("text", "linked", "bad", "main", "heading", "home", "depth")
 
-    def __init__(self, bad: bool, main: bool, heading: bool, home: int):
+    def __init__(self, bad: bool, main: bool, heading: bool, home: int, depth: int = 0):
         self.text: list[str] = []
         self.linked = 0
-        self.bad, self.main, self.heading, self.home = bad, main, heading, home
+        self.bad, self.main, self.heading, self.home, self.depth = bad, main, heading, home, depth
 
 
 def _cues(attrs: str) -> tuple[set[str], bool, str]:
@@ -93,8 +93,9 @@ def _cues(attrs: str) -> tuple[set[str], bool, str]:
 def cut(page: str) -> list[_Block]:
     """Blocks of a page in order, each with where it stands."""
     out: list[_Block] = []
-    # tag, bad, main, in a header, heading, number of the element that holds its blocks
-    stack: list[tuple[str, bool, bool, bool, bool, int]] = [("", False, False, False, False, 0)]
+    # tag, bad, main, in a header, heading, number of the element that holds its blocks, then what an article inside is not
+    # bad for: number of elements around that are bad by class or id alone, in a header by class or id alone, number of both above the article
+    stack: list[tuple[str, bool, bool, bool, bool, int, int, bool, int]] = [("", False, False, False, False, 0, 0, False, 0)]
     homes = 0
     block = _Block(False, False, False, 0)
     links = 0
@@ -104,8 +105,8 @@ def cut(page: str) -> list[_Block]:
         nonlocal block
         if block.text:
             out.append(block)
-        _, bad, main, header, heading, home = stack[-1]
-        block = _Block(bad or (header and not (main and heading)), main, heading, home)
+        _, bad, main, header, heading, home, named, headed, depth = stack[-1]
+        block = _Block(bad or named > 0 or ((header or headed) and not (main and heading)), main, heading, home, depth)
 
     def text(part: str) -> None:
         if part:
@@ -153,7 +154,8 @@ def cut(page: str) -> list[_Block]:
         if tag == "a":
             links += 1
         is_main = tag in MAIN or role == "main"
-        cue = hidden or bool(words & (COMMENT_CUES if is_main else CUES)) or tag in ASIDE
+        firm = hidden or tag in ASIDE or bool(words & COMMENT_CUES) or not is_main and bool(CUES.intersection(_SPLIT.split(role)))
+        cue = firm or not is_main and bool(words & CUES)
         if tag in BLOCK or cue:
             if tag in BLOCK:
                 for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block begins
@@ -170,12 +172,16 @@ def cut(page: str) -> list[_Block]:
                         if stack[i][0] in SAME_WITHIN:
                             break
                 links = 0 if tag != "a" else links
-            _, bad, main, header, heading, home = stack[-1]
-            header = header or tag == "header" or "header" in words and not is_main
+            _, bad, main, header, heading, home, named, headed, depth = stack[-1]
+            if is_main:  # what holds an article is not known by its class or id
+                depth, named, headed = depth + named + headed, 0, False
+            header = header or tag == "header"
+            headed = headed or "header" in words and not is_main
+            named += cue and not firm
             if tag != "p" and tag not in HEADINGS:
                 homes += 1
                 home = homes
-            stack.append((tag, bad or cue, main or is_main and not cue, header, heading or tag in HEADINGS, home))
+            stack.append((tag, bad or firm, main or is_main and not cue, header, heading or tag in HEADINGS, home, named, headed, depth))
             fresh()
     if at < end:
         text(page[at:])
@@ -188,20 +194,26 @@ def _clean(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def first_pass(block: _Block, text: str, has_main: bool) -> int:
-    """GOOD, BAD or OPEN (ambiguous)."""
+def _stops(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(block: _Block, text: str, has_main: bool, known: bool = True) -> int:
+    """GOOD, BAD or OPEN (ambiguous). known: stop words can speak, as the page's language has them."""
     if has_main and not block.main:
         return BAD
     if block.linked > LINKED * max(1, sum(map(len, block.text))):
-        return BAD if not block.main or len(text) < LONG else OPEN
-    words = text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
+        return OPEN if block.main else BAD
+    stops = _stops(text)
     if block.heading or len(text) < SHORT:
         return OPEN
     if stops >= MANY_STOPS:
         return GOOD
     if block.main:  # inside the article, text is kept however it reads
         return GOOD if len(text) >= LONG or stops >= FEW_STOPS else OPEN
+    if not known:  # length speaks alone
+        return GOOD
     return OPEN if stops >= FEW_STOPS else BAD
 
 
@@ -239,8 +251,11 @@ def main_text(page: str | None) -> str:
         return ""
     blocks = [(b, t) for b in cut(page) if (t := _clean(b.text))]
     has_main = any(b.main and not b.bad for b, _ in blocks)
-    blocks = [(b, t) for b, t in blocks if not b.bad]  # these stand where no text does, so they are no one's neighbours
-    labels = [first_pass(b, t, has_main) for b, t in blocks]
+    # of several articles, those under the fewest wrappers named like what is no text; headings alone are no article
+    depth = min((b.depth for b, _ in blocks if b.main and not b.bad and not b.heading), default=0)
+    blocks = [(b, t) for b, t in blocks if not b.bad and not (b.main and b.depth > depth)]  # others stand where no text does, so they are no one's neighbours
+    known = has_main or _stops(" ".join(t for _, t in blocks)) >= FEW_STOPS
+    labels = [first_pass(b, t, has_main, known) for b, t in blocks]
     kept = second_pass(labels, [b.main for b, _ in blocks], [b.home for b, _ in blocks])
     return " ".join(t for (_, t), keep in zip(blocks, kept) if keep)
 

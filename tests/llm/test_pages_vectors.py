@@ -9,6 +9,25 @@ from spindle.llm import extraction, topk
 
 from . import brute
 
+@pytest.mark.parametrize("wrapper", ["class='page has-sidebar'", "class=with-menu", "id=no-ads", "class=cookie-consent-given", "class='site header'"])
+def test_wrappers_named_like_asides_keep_their_article(wrapper):
+    aside = f"<div class=sidebar><article><p>{PARA}</p></article></div>"
+    for page in (f"<div {wrapper}><article><h1>T</h1><p>{PARA}More.</p></article>{aside}</div>", f"<main><h1>T</h1><div {wrapper}><article><p>{PARA}More.</p></article></div></main>"):
+        assert extraction.main_text(page) == f"T {PARA}More."
+    for tag in ("div class=comments", "aside", "div role=complementary", "div hidden"):
+        assert extraction.main_text(f"<{tag}><article><p>{PARA}</p></article></{tag.split()[0]}>") == ""
+
+
+def test_short_linked_blocks_stay_in_the_article():
+    assert extraction.main_text(f"<article><p>{PARA}</p><ul><li><a href=x>A linked item</a></ul><p>Source: <a href=y>the place</a></p><p>{PARA}</p></article><p><a href=z>out</a></p>") == f"{PARA}A linked item Source: the place {PARA.strip()}"
+
+
+def test_pages_of_other_languages():
+    para = "Szybki brązowy lis przeskoczył nad leniwym psem, który spał spokojnie obok starego młyna. "
+    assert extraction.main_text(f"<div><p>{para}</p><p>Krótko.</p><p>{para}</p></div><nav>Menu</nav><div><a href=x>{para}</a></div>") == f"{para}Krótko. {para.strip()}"
+    assert extraction.main_text(f"<div><p>{PARA * 4}</p></div><div><p>{para}</p></div>") == (PARA * 4).strip()
+
+
 PARA = "The quick fox is in the house and it was not the one that they had seen by the river, for which all of them are to be sorry. "
 
 
