@@ -22,9 +22,8 @@ Each document is judged alone, so nothing is shuffled.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -51,138 +50,136 @@ TEXT_SQUARES, TEXT_CUBES, TEXT_CHANGES = 0.065, 0.0055, 0.15
 #: Rough percentages of the letters a to z in text of the tables' languages; none is so low that a few names with q, x or z count as chance.
 TEXT_LETTERS = dict(zip(BASE36_ALPHABET[10:], (8.0, 1.6, 3.2, 4.5, 14.0, 1.6, 1.8, 3.5, 7.2, 0.4, 0.7, 4.4, 2.7, 7.8, 6.0, 2.1, 0.5, 6.6, 6.8, 7.0, 4.3, 1.2, 1.3, 0.4, 0.9, 0.6)))
 
-_SPANS = "array<struct<start:int,kind:int,end:int>>"
+_SPAN = "struct<start:int,kind:int,end:int>"
+#: Parts that are put together at a time; a list of parts then costs their number, not its square.
+CHUNK = 256
 
+_LETTERS = [list(a) for a in (HEX_ALPHABET, BASE32_ALPHABET, BASE36_ALPHABET, BASE64_ALPHABET)]
+_HEX, _BASE32, _BASE36, _BASE64 = 1, 2, 3, 4
 
-def _empty() -> Column:
-    return F.array().cast(_SPANS)
 
+# Expressions are written as SQL text: one call makes a tree of any size.
 
-def matches(text: Column, pattern: str, kind: int, group: int, least: int, hint: str) -> Column:
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _array(values: list) -> str:
+    """A list of texts or doubles, or of such lists, as a literal."""
+    return "array(" + ", ".join(_array(v) if isinstance(v, list) else _quoted(v) if isinstance(v, str) else f"{v!r}D" for v in values) + ")"
+
+
+def _none(kind: str) -> str:
+    return f"cast(array() as array<{kind}>)"
+
+
+def _once(value: str, name: str, use: str) -> str:
+    """use, in which name stands for value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
+
+
+def _held(rows: DataFrame, **columns: str) -> DataFrame:
+    """rows with further columns that later steps, and filters on their results, read as values and never as expressions.
+
+    A generator of one row: the optimizer does not move expressions or filters through it, so
+    the plan stays as small as what is written here, however often a column is used.
+    """
+    made = ", ".join(f"'{name}', {c}" for name, c in columns.items())
+    return rows.select("*", F.expr(f"inline(array(named_struct({made})))"))
+
+
+def _chunks(parts: str) -> str:
+    return f"transform(sequence(0, greatest(cast((size({parts}) - 1) div {CHUNK} as int), 0)), chunk -> slice({parts}, chunk * {CHUNK} + 1, {CHUNK}))"
+
+
+def _running(parts: str, to: str, result: str, kind: str) -> str:
+    """For each part x, result, an expression of x and at, the sum so far; to: the sum after x. kind: the type of a result."""
+    some = f"aggregate(xs, named_struct('at', s.at, 'out', {_none(kind)}), (t, y) -> {_once('t.at', 'at', _once('y', 'x', f'named_struct({chr(39)}at{chr(39)}, {to}, {chr(39)}out{chr(39)}, concat(t.out, array({result})))'))})"
+    more = _once(some, "r", "named_struct('at', r.at, 'out', concat(s.out, array(r.out)))")
+    whole = f"aggregate({_chunks('parts')}, named_struct('at', 0, 'out', {_none(f'array<{kind}>')}), (s, xs) -> {more}, s -> flatten(s.out))"
+    return _once(parts, "parts", f"case when size(parts) > 0 then {whole} else {_none(kind)} end")
+
+
+def matches(text: str, pattern: str, kind: int, group: int, least: int, hint: str) -> str:
     """Spans of a pattern's leftmost non-overlapping matches whose group has enough characters.
 
     The pieces between matches come from split(), the matches from regexp_extract_all(); their
     lengths in turn give the places. hint: a cheap pattern without which there is no match.
     """
-    pieces = F.transform(F.split(text, pattern), F.length)
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    own = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
-    both = F.zip_with(F.zip_with(pieces, whole, lambda gap, n: F.struct(gap.alias("gap"), n.alias("n"))), own, lambda a, g: F.struct(a["gap"].alias("gap"), a["n"].alias("n"), g.alias("g")))
-    both = F.filter(both, lambda x: x["n"].isNotNull())
-
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("end"))
-        return F.struct((start + x["n"]).alias("at"), F.when(x["g"] >= least, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
-
-    found = F.aggregate(both, F.struct(F.lit(0).alias("at"), _empty().alias("found")), add, lambda s: s["found"])
-    return F.when(text.rlike(hint), found).otherwise(_empty())
+    p = _quoted(pattern)
+    lengths = f"arrays_zip(transform(split({text}, {p}), y -> length(y)), transform(regexp_extract_all({text}, {p}, 0), y -> length(y)), transform(regexp_extract_all({text}, {p}, {group}), y -> length(y)))"
+    parts = f"filter(transform({lengths}, y -> named_struct('gap', y['0'], 'n', y['1'], 'own', y['2'])), y -> y.n is not null)"
+    span = f"named_struct('start', at + x.gap, 'kind', if(x.own >= {least}, {kind}, null), 'end', at + x.gap + x.n)"
+    return f"case when {text} rlike {_quoted(hint)} then filter({_running(parts, 'at + x.gap + x.n', span, _SPAN)}, y -> y.kind is not null) else {_none(_SPAN)} end"
 
 
-def _counts(token: Column, alphabet: str) -> Column:
-    letters = F.array(*[F.lit(c) for c in alphabet])
-    return F.transform(letters, lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"))
+def discoveries(text: str) -> str:
+    """All long tokens with their places."""
+    p, kind = _quoted(TOKEN), "struct<start:int,t:string>"
+    zipped = f"arrays_zip(transform(split({text}, {p}), y -> length(y)), regexp_extract_all({text}, {p}, 0))"
+    parts = f"filter(transform({zipped}, y -> named_struct('gap', y['0'], 't', y['1'])), y -> y.t is not null)"
+    return f"case when {text} rlike {p} then {_running(parts, 'at + x.gap + length(x.t)', 'named_struct({0}start{0}, at + x.gap, {0}t{0}, x.t)'.format(chr(39)), kind)} else {_none(kind)} end"
 
 
-def _letters(counts: Column, alphabet: str) -> Column:
-    """Log-likelihood ratio of even letters to text's, as a z-score under text; the token has a letter."""
+def _text_facts(alphabet: list[str]) -> tuple[list[float], list[float], float, float]:
+    """Of an alphabet with letters of one case: which symbols are letters, log-likelihood ratios of even letters to text's, their mean and deviation under text."""
     of = [TEXT_LETTERS.get(c.lower(), 0.0) for c in alphabet]
     even, total = sum(p > 0 for p in of), sum(of)
     ratio = [math.log(total / (even * p)) if p else 0.0 for p in of]
     mean = sum(p * r for p, r in zip(of, ratio)) / total
-    dev = (sum(p * r * r for p, r in zip(of, ratio)) / total - mean * mean) ** 0.5
-    add = lambda s, x: s + x
-    n = F.aggregate(F.zip_with(counts, F.array(*[F.lit(float(p > 0)) for p in of]), lambda c, w: c * w), F.lit(0.0), add)
-    score = F.aggregate(F.zip_with(counts, F.array(*[F.lit(r) for r in ratio]), lambda c, w: c * w), F.lit(0.0), add)
-    return (score - n * mean) / (F.sqrt(n) * dev)
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value stands in the plan, and is computed, once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _battery(token: Column, alphabet: str) -> Column:
-    """Evidence against text as a z-score; null where the token looks ordered, too uniform or too uneven."""
-    return _once(token, lambda t: _once(_counts(t, alphabet), lambda counts: _judged(t, counts, alphabet)))
-
-
-def _judged(token: Column, counts: Column, alphabet: str) -> Column:
-    a, n = float(len(alphabet)), F.length(token).cast("double")
-    add = lambda s, x: s + x
-    chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c) * a / n - n
-    # under randomness: Wilson-Hilferty; far below is more even than chance
-    k = a - 1
-    even = lambda chi: (F.pow(F.greatest(chi, F.lit(0.0)) / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / (2 / (9 * k)) ** 0.5
-    if alphabet == BASE64_ALPHABET:
-        # under text: mean and deviation of the statistic from the letter frequencies
-        text_mean = (a - 1) + n * (a * TEXT_SQUARES - 1)
-        text_dev = 2 * a * F.sqrt(n * (TEXT_CUBES - TEXT_SQUARES**2))
-        uniform = (text_mean - chi) / text_dev
-        odd = even(chi) < -4
-    else:
-        uniform = _letters(counts, alphabet)
-        odd = ~_once(chi, even).between(-4, 5)
-    kinds = F.translate(token, alphabet, "".join("0" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in alphabet))
-    changed = lambda kinds: F.aggregate(F.sequence(F.lit(1), F.length(kinds) - 1), F.lit(0.0), lambda s, i: s + (F.substring(kinds, i, F.lit(1)) != F.substring(kinds, i + 1, F.lit(1))).cast("double"))
-    changing = (_once(kinds, changed) - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
-
-    def ordered(d: Column) -> Column:
-        var = F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x)
-        cov = F.aggregate(F.zip_with(d, F.slice(d, 2, F.size(d)), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), add)
-        return _once(var, lambda var: (F.abs(cov) * F.sqrt(n) > 4 * var) | (var <= 0))
-
-    places = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.instr(F.lit(alphabet), F.substring(token, i, F.lit(1))).cast("double"))
-    centred = lambda xs: _once(F.aggregate(xs, F.lit(0.0), add) / n, lambda mean: F.transform(xs, lambda x: x - mean))
-    return F.when(~(odd | _once(_once(places, centred), ordered)), (uniform + changing) / 2**0.5)
-
-
-def _z(token: Column) -> Column:
-    """Evidence of the encoding that the token's characters allow; null where none is inferred or the token is ordered."""
-    has = lambda p: token.rlike(p)
-    standard, bare = F.translate(token, "-_", "+/"), F.translate(token, "-_", "")
-    cases = [
-        (has("^[0-9a-fA-F_-]+$") & has("[0-9]") & has("[a-fA-F]"), F.lower(bare), HEX_ALPHABET),
-        (has("^[A-Z2-7_-]+$") & has("[2-7]") & has("[A-Z]"), bare, BASE32_ALPHABET),
-        ((has("^[0-9a-z_-]+$") | has("^[0-9A-Z_-]+$")) & has("[0-9]") & has("[a-zA-Z]"), F.lower(bare), BASE36_ALPHABET),
-        (has("[0-9]") & has("[A-Z]") & has("[a-z]"), standard, BASE64_ALPHABET),
-    ]
-    out = F.lit(None).cast("double")
-    for when, t, alphabet in reversed(cases):
-        out = F.when(when, _battery(t, alphabet)).otherwise(out)
-    return out
-
-
-def discoveries(text: Column) -> Column:
-    """All long tokens with their places and p-values."""
-    pieces = F.transform(F.split(text, TOKEN), F.length)
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    both = F.filter(F.zip_with(pieces, tokens, lambda gap, t: F.struct(gap.alias("gap"), t.alias("t"))), lambda x: x["t"].isNotNull())
-
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        one = F.struct(start.alias("start"), x["t"].alias("t"))
-        return F.struct((start + F.length(x["t"])).alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
-
-    none = F.array().cast("array<struct<start:int,t:string>>")
-    found = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda s: s["found"])
-    return F.when(text.rlike(TOKEN), found).otherwise(none)
-
-
-def _controlled(tokens: Column) -> Column:
-    """Spans that weighted Benjamini-Hochberg keeps, of an array of (start, t, z); tokens without z are not tested."""
-    return _once(F.filter(tokens, lambda x: x["z"].isNotNull()), lambda tested: F.when(F.size(tested) > 0, _kept(tested)).otherwise(_empty()))
-
-
-def _kept(tokens: Column) -> Column:
-    m = F.size(tokens).cast("double")
-    mean = F.aggregate(tokens, F.lit(0.0), lambda s, x: s + F.length(x["t"])) / m
+    return [float(p > 0) for p in of], ratio, mean, (sum(p * r * r for p, r in zip(of, ratio)) / total - mean * mean) ** 0.5
+
+
+def _encoding(t: str) -> str:
+    """Number of the encoding that the token's characters allow; null where none is inferred."""
+    return f"""case when {t} rlike '^[0-9a-fA-F_-]+$' and {t} rlike '[0-9]' and {t} rlike '[a-fA-F]' then {_HEX}
+        when {t} rlike '^[A-Z2-7_-]+$' and {t} rlike '[2-7]' and {t} rlike '[A-Z]' then {_BASE32}
+        when ({t} rlike '^[0-9a-z_-]+$' or {t} rlike '^[0-9A-Z_-]+$') and {t} rlike '[0-9]' and {t} rlike '[a-zA-Z]' then {_BASE36}
+        when {t} rlike '[0-9]' and {t} rlike '[A-Z]' and {t} rlike '[a-z]' then {_BASE64} end"""
+
+
+def _z(t: str) -> str:
+    """Evidence against text as a z-score; null where no encoding is inferred, or the token looks ordered, too uniform or too uneven."""
+    bare = f"translate({t}, '-_', '')"
+    symbols = f"case e when {_BASE64} then translate({t}, '-_', '+/') when {_BASE32} then {bare} else lower({bare}) end"
+    return _once(_encoding(t), "e", f"case when e is not null then {_once(symbols, 's', _battery())} end")
+
+
+def _battery() -> str:
+    """The three tests of a token's symbols s in encoding e; the alphabet is data, so there is one tree for all encodings. Time is linear in the token's length."""
+    of = lambda table: f"element_at({_array(table)}, e)"
+    dot = lambda table: f"aggregate(zip_with(counts, {of(table)}, (c, w) -> c * w), 0D, (a, c) -> a + c)"
+    size, facts = of([float(len(a)) for a in _LETTERS]), [_text_facts(a) for a in _LETTERS]
+    counts = f"transform({of(_LETTERS)}, c -> cast(length(s) - length(replace(s, c, '')) as double))"
+    # under randomness: Wilson-Hilferty, k degrees of freedom; far below is more even than chance
+    even = _once(f"{size} - 1", "k", "(power(greatest(chi, 0D) / k, 1D / 3) - (1 - 2 / (9 * k))) / sqrt(2 / (9 * k))")
+    odd = _once(even, "x", f"x < -4 or (e <> {_BASE64} and x > 5)")
+    # under text: mean and deviation of the statistic from the letter frequencies
+    mixed = f"({size} - 1 + n * ({size} * {TEXT_SQUARES}D - 1) - chi) / (2 * {size} * sqrt(n * {TEXT_CUBES - TEXT_SQUARES**2!r}D))"
+    likely = _once(dot([f[0] for f in facts]), "m", f"({dot([f[1] for f in facts])} - m * {of([f[2] for f in facts])}) / (sqrt(m) * {of([f[3] for f in facts])})")
+    uniform = f"case when e = {_BASE64} then {mixed} else {likely} end"
+    kinds = f"translate(s, '{BASE64_ALPHABET}', '{'u' * 26 + 'l' * 26 + '0' * 10 + 'oo'}')"
+    changing = f"(regexp_count({kinds}, 'u+|l+|0+|o+') - 1 - (n - 1) * {TEXT_CHANGES}D) / sqrt((n - 1) * {TEXT_CHANGES * (1 - TEXT_CHANGES)!r}D)"
+    number = f"cast(instr({of([''.join(a) for a in _LETTERS])}, c) as double)"
+    add = _once(number, "x", "named_struct('last', x, 'first', coalesce(a.first, x), 's', a.s + x, 'q', a.q + x * x, 'p', a.p + a.last * x)")
+    sums = f"aggregate(split(s, ''), named_struct('last', 0D, 'first', cast(null as double), 's', 0D, 'q', 0D, 'p', 0D), (a, c) -> {add})"
+    cov = "g.p - g.s / n * (2 * g.s - g.first - g.last) + (n - 1) * (g.s / n) * (g.s / n)"
+    ordered = _once(sums, "g", _once("g.q - g.s * (g.s / n)", "v", f"abs({cov}) * sqrt(n) > 4 * v or v <= 1e-9"))
+    judged = f"case when not ({odd} or {ordered}) then ({uniform} + {changing}) / sqrt(2D) end"
+    chi = f"aggregate(counts, 0D, (a, c) -> a + c * c) * {size} / n - n"
+    return _once("cast(length(s) as double)", "n", _once(counts, "counts", _once(chi, "chi", judged)))
+
+
+def _controlled(tested: str) -> str:
+    """Spans that weighted Benjamini-Hochberg keeps, of an array of (start, n, z) of tested tokens."""
+    mean = f"aggregate({tested}, 0D, (s, x) -> s + x.n) / size({tested})"
     # an upper bound of the normal tail, weighted by length
-    p = lambda x, mean: F.when(x["z"] > 0, 0.5 * F.exp(-x["z"] * x["z"] / 2)).otherwise(F.lit(1.0)) * mean / F.length(x["t"])
-    ranked = _once(mean, lambda mean: F.array_sort(F.transform(tokens, lambda x: F.struct(p(x, mean).alias("p"), x["start"].alias("start"), F.length(x["t"]).alias("n")))))
-    passing = lambda ranked: F.filter(F.transform(ranked, lambda x, i: F.when(x["p"] <= (i + 1) * FALSE_SHARE / m, x["p"])), lambda x: x.isNotNull())
-    below = lambda ranked, level: F.transform(F.filter(ranked, lambda x: x["p"] <= level), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), (x["start"] + x["n"]).alias("end")))
-    return _once(ranked, lambda ranked: _once(F.array_max(passing(ranked)), lambda level: below(ranked, level)))
+    ranked = f"array_sort(transform({tested}, x -> named_struct('p', if(x.z > 0, 0.5D * exp(-x.z * x.z / 2), 1D) * mean / x.n, 'start', x.start, 'n', x.n)))"
+    level = f"array_max(filter(transform(ranked, (x, i) -> if(x.p <= (i + 1) * {FALSE_SHARE}D / size({tested}), x.p, null)), p -> p is not null))"
+    below = "transform(filter(ranked, x -> x.p <= level), x -> named_struct('start', x.start, 'kind', 3, 'end', x.start + x.n))"
+    kept = _once(_once(mean, "mean", ranked), "ranked", _once(level, "level", below))
+    return f"case when size({tested}) > 0 then {kept} else {_none(_SPAN)} end"
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -191,24 +188,26 @@ def spans(docs: DataFrame) -> DataFrame:
     A null text counts as empty; a document without matches has empty arrays. Two spans may
     overlap; an added span that overlaps a base one is left out.
     """
-    rows = docs.withColumn("scan_text", common.trimmed(F.col("text")))
-    text = F.col("scan_text")
-    rows = rows.withColumn("scan_a", matches(text, ASSIGN, 0, 2, LEAST["assign"], r"(?i)password|passwd|secret|token|api_?key"))
-    # a run of at least the length is the same as a run that is long enough
-    rows = rows.withColumn("scan_b", matches(text, rf"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", 1, 0, LEAST["access"], "AKIA"))
-    rows = rows.withColumn("scan_c", matches(text, rf"[0-9a-f]{{{LEAST['hex']},}}", 2, 0, LEAST["hex"], rf"[0-9a-f]{{{LEAST['hex']}}}"))
-    rows = rows.withColumn("scan_t", discoveries(text))
-    rows = rows.withColumn("scan_t", F.transform("scan_t", lambda x: F.struct(x["start"].alias("start"), x["t"].alias("t"), _z(x["t"]).alias("z"))))
-    rows = rows.withColumn("scan_base", F.array_sort(F.concat("scan_a", "scan_b", "scan_c")))
-    rows = rows.withColumn("scan_added", _controlled(F.col("scan_t")))
-    free = F.filter("scan_added", lambda x: ~F.exists(F.col("scan_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return rows.withColumn("scan_all", F.array_sort(F.concat("scan_base", free))).drop("scan_text", "scan_a", "scan_b", "scan_c", "scan_t", "scan_added")
-
-
-def joined(found: Column) -> Column:
+    rows = _held(docs, scan_text="coalesce(text, '')")
+    rows = _held(
+        rows,
+        scan_a=matches("scan_text", ASSIGN, 0, 2, LEAST["assign"], r"(?i)password|passwd|secret|token|api_?key"),
+        # a run of at least the length is the same as a run that is long enough
+        scan_b=matches("scan_text", rf"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", 1, 0, LEAST["access"], "AKIA"),
+        scan_c=matches("scan_text", rf"[0-9a-f]{{{LEAST['hex']},}}", 2, 0, LEAST["hex"], rf"[0-9a-f]{{{LEAST['hex']}}}"),
+        scan_t=discoveries("scan_text"),
+    )
+    tested = f"filter(transform(scan_t, y -> named_struct('start', y.start, 'n', length(y.t), 'z', {_z('y.t')})), y -> y.z is not null)"
+    rows = _held(rows, scan_base="array_sort(concat(scan_a, scan_b, scan_c))", scan_z=tested)
+    rows = _held(rows, scan_added=_controlled("scan_z"))
+    free = "filter(scan_added, x -> not exists(scan_base, b -> b.start < x.end and x.start < b.end))"
+    rows = _held(rows, scan_all=f"array_sort(concat(scan_base, {free}))")
+    return rows.drop("scan_text", "scan_a", "scan_b", "scan_c", "scan_t", "scan_z", "scan_added")
+
+
+def joined(found: str) -> str:
     """kind:start:end, joined by commas."""
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return f"array_join(transform({found}, s -> concat(element_at({_array(list(KINDS))}, s.kind + 1), ':', s.start, ':', s.end)), ',')"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -218,27 +217,23 @@ def scan(docs: DataFrame) -> DataFrame:
     rows; columns other than doc_id and text are not read.
     """
     rows = spans(common.take(docs, doc_id="long", text="string"))
-    count = lambda of, k: F.size(F.filter(of, lambda s: s["kind"] == k)).cast("long")
-    return rows.select(
-        "doc_id",
-        *[count("scan_base", k).alias(f"n_{KINDS[k]}") for k in range(3)],
-        F.sha2(joined(F.col("scan_base")).cast("binary"), 256).alias("base_sha256"),
-        joined(F.col("scan_all")).alias("spans"),
-        count("scan_all", 3).alias("n_random"),
-    )
+    count = lambda of, k: f"cast(size(filter({of}, s -> s.kind = {k})) as bigint)"
+    found = {f"n_{KINDS[k]}": count("scan_base", k) for k in range(3)}
+    found |= {"base_sha256": f"sha2(cast({joined('scan_base')} as binary), 256)", "spans": joined("scan_all"), "n_random": count("scan_all", 3)}
+    return _held(rows, **found).select("doc_id", *found)
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """docs, with each stretch of text that spans cover replaced by a mark; all else, and every other column, as it is."""
     held = f"c{common.place(docs, 'text')}"
     rows = spans(common.plain(docs).withColumn("text", F.col(held).cast("string")))
-
-    def add(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
-        fresh = s["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("scan_all", start, add, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    changed = F.when(F.size("scan_all") > 0, clean).otherwise(F.col("text"))
-    return rows.withColumn(held, changed).select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+    # of each span: characters to keep before it, how many it takes with them, whether it is marked
+    cut = "named_struct('gap', greatest(x.start - at, 0), 'n', greatest(at, x.end) - at, 'fresh', x.start >= at)"
+    rows = _held(rows, scan_cut=_running("scan_all", "greatest(at, x.end)", cut, "struct<gap:int,n:int,fresh:boolean>"))
+    # a chunk of spans is cut from its own stretch of text, so no cut goes through all that is left
+    one = f"named_struct('rest', substring(t.rest, x.n + 1), 'out', concat(t.out, array(concat(left(t.rest, x.gap), if(x.fresh, {_quoted(mark)}, '')))))"
+    inner = f"array_join(aggregate(xs, named_struct('rest', left(s.rest, n), 'out', {_none('string')}), (t, x) -> {one}).out, '')"
+    more = _once("aggregate(xs, 0, (a, x) -> a + x.n)", "n", f"named_struct('rest', substring(s.rest, n + 1), 'out', concat(s.out, array({inner})))")
+    clean = f"aggregate({_chunks('scan_cut')}, named_struct('rest', text, 'out', {_none('string')}), (s, xs) -> {more}, s -> concat(array_join(s.out, ''), s.rest))"
+    rows = _held(rows, scan_clean=f"case when size(scan_cut) > 0 then {clean} else text end")
+    return rows.withColumn(held, F.col("scan_clean")).select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
