@@ -1,9 +1,12 @@
-"""Pieces that several operators share: scratch tables, word boundaries, 64-bit hashing in numpy."""
+"""Pieces that several operators share: scratch tables, joins with hot keys, words and their hashes."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +16,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: A key counts as hot that holds more than this share of the rows (and HOT_ROWS); there are at most so many of them, whatever the table.
+HOT_KEYS = 1000
+HOT_ROWS = 500
+
+
 class Scratch:
     """Parquet tables in the folder that driver and executors share (spark.checkpoint.dir).
 
     Tables cut lineage: a lost executor costs a re-read, not a recomputation. The folder is
-    the session's own; drop() removes a table as soon as nothing reads it any more.
+    the session's own; drop() removes a table as soon as nothing reads it any more. Where no folder
+    is set, one is made on this machine, but only in a session that runs on this machine alone.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -26,6 +35,8 @@ class Scratch:
         if not root:
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
             if found.isEmpty():
+                if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
                 spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spindle-checkpoint-"))
                 found = spark.sparkContext._jsc.sc().getCheckpointDir()
             root = found.get()
@@ -39,10 +50,29 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def dealt(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """As save(), dealt by keys into as many files as a shuffle has partitions: joins and groups on these keys need no exchange of it."""
+        table, n = f"spindle_{uuid.uuid4().hex}", partitions(self.spark)
+        df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", self.path(name)).saveAsTable(table)
+        out = self.spark.table(table)
+        out.schema  # resolved; the name is not needed any more, and the files stay, as their place was given
+        self.spark.sql(f"drop table {table}")
+        return out
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def drop(self, *names: str) -> None:
+        files, _ = self._files()
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name)), True)
+
+    def clear(self, *keep: str) -> None:
+        """Drop all tables but these."""
+        files, root = self._files()
+        if files.exists(root):
+            self.drop(*[name for f in files.listStatus(root) if (name := f.getPath().getName()) not in keep])
 
 
 def place(df: DataFrame, name: str) -> int:
@@ -73,9 +103,29 @@ def tasks(spark: SparkSession, rows: int, each: int) -> int:
     return max(1, min(partitions(spark), -(-rows // each)))
 
 
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys that hold more than their share of rows; None where there are none. Their number is bounded by HOT_KEYS."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_ROWS)
+    found = counts.where(F.col("rows") > rows.count() / HOT_KEYS).select(*keys)
+    got = found.collect()
+    return rows.sparkSession.createDataFrame(got, found.schema) if got else None
+
+
+def spread(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join of many with one, which has a row for each key.
+
+    Rows of hot keys stay where they are and meet the at most HOT_KEYS rows of one that are
+    sent to all; the rest is dealt by key, and no key has more of it than a small share.
+    """
+    merged = lambda rows: rows.join(one.hint("merge"), keys)
+    if hot is None:
+        return merged(many)
+    few = F.broadcast(one.join(F.broadcast(hot), keys))
+    return merged(many.join(F.broadcast(hot), keys, "left_anti")).unionByName(many.join(few, keys))
+
+
 # --- hashing --------------------------------------------------------------------------------
 
-_BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD1342543DE82EF95)
 
 
@@ -103,35 +153,67 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = Powers(_BYTE_BASE), Powers(_WORD_BASE)
+_WORDS = Powers(_WORD_BASE)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
-    """Of a block of texts: a 64-bit hash for each word, where each text's words begin, the bytes, each word's ends.
+class _Hashes(dict):
+    """64 bits of BLAKE2b of a word's bytes; bounded, past its bound it starts afresh."""
 
-    A word's hash depends on its bytes alone: prefix sums of byte * base**i, made independent
-    of the place by the inverse power, then mixed. No Python loop runs over words.
-    """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    MOST = 200_000
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.MOST:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_HASHES = _Hashes()
+
+
+def _raw(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Of a block of texts: a 64-bit hash for each word, where each text's words begin, the bytes, each word's start and end."""
+    raw = _raw(texts)
     data = b" ".join(raw) + b" "
-    a = np.frombuffer(data, np.uint8)
-    space = _SPACE[a]
+    space = _SPACE[np.frombuffer(data, np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _BYTES.get(len(a) + 1)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-    offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
-    first = np.searchsorted(starts, offsets)
-    return h, first, data, starts, ends
+    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths + 1)]))
+    return _HASHES.of(data.split()), first, data, starts, ends
+
+
+def digests(parts: Iterable[bytes]) -> np.ndarray:
+    """n x 2 numbers: 128 bits of BLAKE2b of each part. Equal digests stand for equal parts: nobody knows how to make two parts that share one."""
+    return np.frombuffer(b"".join([blake2b(p, digest_size=16).digest() for p in parts]), "<i8").reshape(-1, 2)
+
+
+class Sequences:
+    """Digests of stretches of the words of a block, each as its words joined by one space."""
+
+    def __init__(self, data: bytes):
+        words = data.split()
+        self.joined = b" ".join(words)
+        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        self.starts = np.concatenate([[0], self.ends + 1])
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return digests(self.joined[a:b] for a, b in zip(self.starts[starts].tolist(), self.ends[ends - 1].tolist()))
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive entries of h, in order; empty when there are fewer than k."""
+    """A hash of each k consecutive entries of h, which are hashes themselves, in order; empty when there are fewer than k."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
     up, down = _WORDS.get(len(h) + 1)

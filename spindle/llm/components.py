@@ -16,7 +16,7 @@ def components(edges: DataFrame, scratch: common.Scratch, tag: str) -> DataFrame
     Alternates two steps until nothing changes (large-star and small-star): each node's larger
     neighbours, then its smaller ones, are tied to the smallest node known there. The number
     of rounds grows with the logarithm of the graph's size; minima are taken before the
-    shuffle, so a node with very many neighbours costs no task more than its share. Each step has
+    shuffle, and neighbours of a node that has very many are not dealt by it, so it costs no task more than its share. Each step has
     as many tasks as EDGES edges a task call for.
     """
     now = scratch.save(edges.select("a", "b").where("a <> b").distinct(), f"{tag}-0")
@@ -30,7 +30,8 @@ def components(edges: DataFrame, scratch: common.Scratch, tag: str) -> DataFrame
         now = now.coalesce(tasks)
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).coalesce(tasks)
-        wide = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        larger = both.where("b > a")
+        wide = common.spread(larger, least, ["a"], common.hot_keys(larger, ["a"]) if facts[0] > common.HOT_ROWS else None).select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.where("m < a").select("a", F.col("m").alias("b"))
         large = wide.unionAll(own).where("a <> b").coalesce(tasks).distinct().coalesce(tasks)
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -8,7 +8,8 @@ their weighted shingles (the usual Jaccard where no shingle repeats).
 
 Registers are banded. Documents that share a band value are a bucket, and buckets with the same
 smallest document make one group. Verification compares documents of a group by their exact
-similarity, but makes no pairs: equal texts are one node from the start; a group's smallest document
+similarity, but makes no pairs: texts of equal words are one node from the start (their digests are
+128 bits of BLAKE2b of the words themselves); a group's smallest document
 is held against all its others; components are found; and then, round by round, some
 documents outside a group's largest component are held against those in other components, until
 every two documents of different components have been compared. So no link is lost. A
@@ -100,21 +101,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def nodes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """doc, c1, c2 (hash of the word sequence) and bands of every document with a doc_id; null hashes where there are no words."""
+    """doc, c1, c2 (digest of the word sequence) and bands of every document with a doc_id; null hashes where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in common.blocks(batch.column(1), 1_000_000):
-                h, first, *_ = common.word_hashes(texts)
+                h, first, data, *_ = common.word_hashes(texts)
                 some = np.diff(first) > 0
-                c1, c2 = (common.spans(x, first[:-1], first[1:]) for x in (h, common.mix(h ^ np.uint64(0xA0761D6478BD642F))))
+                c = np.zeros((len(texts), 2), np.int64)
+                if some.any():
+                    c[some] = common.Sequences(data).digests(first[:-1][some], first[1:][some])
                 text, value, count = shingles(h, first, k)
                 held = probminhash(text, value, count.astype(float), len(texts), bands * rows)
                 keys = np.zeros((len(texts), bands), np.uint64)
                 for j in range(rows):
                     keys = common.mix(keys + held.reshape(len(texts), bands, rows)[:, :, j] + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                arrays = [batch.column(0).slice(at, len(texts)), pa.array(c1.view(np.int64), mask=~some), pa.array(c2.view(np.int64), mask=~some), listed]
+                arrays = [batch.column(0).slice(at, len(texts)), pa.array(c[:, 0], mask=~some), pa.array(c[:, 1], mask=~some), listed]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc", "c1", "c2", "bands"])
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, _NODES)
@@ -237,13 +240,16 @@ def _classes(docs: DataFrame, scratch: common.Scratch, least: float, bands: int,
     """classes(), of rows of different doc_ids, null ones aside."""
     every = scratch.save(nodes(docs, bands, rows, k), "nodes")
     # one node for all documents of the same words
-    apart = every.where("c1 is not null").groupBy("c1", "c2").agg(F.min("doc").alias("node"))
-    first = scratch.save(every.where("c1 is not null").join(apart, ["c1", "c2"]).select("doc", "node", "bands"), "copies")
-    band = first.where("doc = node").select("node", F.explode("bands").alias("band")).distinct()
-    busy = band.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").select("band", "centre")
-    busy = scratch.save(band.join(busy, "band"), "bands")
+    copies = every.where("c1 is not null")
+    reps = scratch.save(copies.groupBy("c1", "c2").agg(F.min(F.struct("doc", "bands")).alias("f")).select("c1", "c2", F.col("f.doc").alias("node"), "f.bands"), "reps")
+    band = scratch.save(reps.select("node", F.explode(F.array_distinct("bands")).alias("band")), "bands")
+    busy = scratch.save(band.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "busy")
+    hot = busy.where(F.col("rows") > common.HOT_ROWS).where(F.col("rows") > band.count() / common.HOT_KEYS).select("band").collect()
+    hot = docs.sparkSession.createDataFrame(hot, "band long") if hot else None
     # a group: all documents that share a bucket with its smallest
-    group = scratch.save(busy.select(F.col("centre").alias("g"), "node").distinct(), "groups")
+    group = common.spread(band, busy.select("band", "centre"), ["band"], hot)
+    group = scratch.save(group.select(F.col("centre").alias("g"), "node").distinct(), "groups")
+    scratch.drop("bands", "busy")
     # one plan at every size: what is small here is large elsewhere
     involved = group.select(F.col("node").alias("doc_id")).distinct().hint("merge")
     texts = scratch.save(docs.join(involved, "doc_id").select("doc_id", "text"), "texts")
@@ -271,15 +277,20 @@ def _classes(docs: DataFrame, scratch: common.Scratch, least: float, bands: int,
         open_ = scratch.save(members.join(next_.select("g").distinct(), "g", "left_semi").coalesce(few), f"open{round_}")
         group = open_.select("g", "node").coalesce(few)
         more = scratch.save(linked(next_, open_, texts, least, k), f"links{round_}")
+        scratch.drop(f"members{round_}", f"links{round_ - 1}")
         asked = scratch.save(asked.coalesce(few).unionAll(next_.select("g", "node")), f"asked{round_}")
         if not more.isEmpty():
             tied = parts.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
             parts = components(tied.unionAll(more), scratch, f"parts{round_}")
     label = parts.select(F.col("node").alias("n"), "comp")
-    found = first.select("doc", "node").join(label, F.col("node") == F.col("n"), "left").select("doc", F.coalesce("comp", "node").alias("class_id"))
+    label = reps.select("c1", "c2", "node").join(label, F.col("node") == F.col("n"), "left").select("c1", "c2", F.coalesce("comp", "node").alias("class_id"))
+    label = scratch.save(label, "labels")
+    found = common.spread(copies.select("c1", "c2", "doc"), label, ["c1", "c2"], common.hot_keys(copies, ["c1", "c2"])).select(F.col("doc").alias("doc_id"), "class_id")
     found = found.unionAll(every.where("c1 is null").select("doc", F.col("doc").alias("class_id")))
+    found = scratch.save(found, "classes")
+    scratch.clear("classes", "keyed0", "keyed1")
     nowhere = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return found.select(F.col("doc").alias("doc_id"), "class_id").unionAll(nowhere)
+    return found.unionAll(nowhere)
 
 
 def _repeats(every: DataFrame, key: str) -> bool:
@@ -288,12 +299,20 @@ def _repeats(every: DataFrame, key: str) -> bool:
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each class, that of the class's smallest doc_id; rows without doc_id all stay."""
-    scratch = common.Scratch(docs.sparkSession, "minhash-kept")
-    found = scratch.save(classes(docs, **how), "classes")
-    rows, key = common.plain(docs), f"c{common.place(docs, 'doc_id')}"
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = rows.join(gone, F.col(key).cast("long") == F.col("gone"), "left_anti")
-    if not found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where(F.col(key).isNull()).unionAll(kept.where(F.col(key).isNotNull()).dropDuplicates([key]))
-    return kept.toDF(*docs.columns)
+    """docs with one row of each class, that of the class's smallest doc_id; rows without doc_id all stay.
+
+    Where that doc_id stands in several rows, the row stays whose text, and then whose columns' hash, is smallest. Rows are
+    dealt by doc_id once; the search for classes and the selection both work on that table.
+    """
+    spark = docs.sparkSession
+    scratch = common.Scratch(spark, "minhash-kept")
+    rows, key, text = common.plain(docs), F.col(f"c{common.place(docs, 'doc_id')}").cast("long"), F.col(f"c{common.place(docs, 'text')}").cast("string")
+    names = rows.columns
+    table = scratch.dealt(rows.where(key.isNotNull()).withColumn("k", key), "rows", "k")
+    found = classes(table.select(F.col("k").alias("doc_id"), text.alias("text")), **how)
+    chosen = scratch.save(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "chosen")
+    kept = table.join(chosen.hint("merge"), F.col("k") == F.col("doc_id"))
+    if not chosen.where("rows > 1").isEmpty():
+        first = Window.partitionBy("k").orderBy(text.asc_nulls_first(), F.xxhash64(*names))
+        kept = kept.withColumn("n", F.row_number().over(first)).where("n = 1")
+    return kept.select(*names).unionAll(rows.where(key.isNull())).toDF(*docs.columns)

@@ -52,7 +52,7 @@ TEXT_LETTERS = dict(zip(BASE36_ALPHABET[10:], (8.0, 1.6, 3.2, 4.5, 14.0, 1.6, 1.
 
 _SPAN = "struct<start:int,kind:int,end:int>"
 #: Parts that are put together at a time; a list of parts then costs their number, not its square.
-CHUNK = 256
+CHUNK = 32
 
 _LETTERS = [list(a) for a in (HEX_ALPHABET, BASE32_ALPHABET, BASE36_ALPHABET, BASE64_ALPHABET)]
 _HEX, _BASE32, _BASE36, _BASE64 = 1, 2, 3, 4
@@ -94,11 +94,14 @@ def _chunks(parts: str) -> str:
 
 
 def _running(parts: str, to: str, result: str, kind: str) -> str:
-    """For each part x, result, an expression of x and at, the sum so far; to: the sum after x. kind: the type of a result."""
-    some = f"aggregate(xs, named_struct('at', s.at, 'out', {_none(kind)}), (t, y) -> {_once('t.at', 'at', _once('y', 'x', f'named_struct({chr(39)}at{chr(39)}, {to}, {chr(39)}out{chr(39)}, concat(t.out, array({result})))'))})"
-    more = _once(some, "r", "named_struct('at', r.at, 'out', concat(s.out, array(r.out)))")
-    whole = f"aggregate({_chunks('parts')}, named_struct('at', 0, 'out', {_none(f'array<{kind}>')}), (s, xs) -> {more}, s -> flatten(s.out))"
-    return _once(parts, "parts", f"case when size(parts) > 0 then {whole} else {_none(kind)} end")
+    """For each part x, result, an expression of x and at, the sum so far; to: the sum after x. kind: the type of a result.
+
+    First come the sums at which chunks begin, then each chunk's results by themselves.
+    """
+    begun = "aggregate(chunks, named_struct('at', 0, 'out', cast(array() as array<int>)), (s, xs) -> named_struct('at', aggregate(xs, s.at, (at, x) -> {0}), 'out', concat(s.out, array(s.at))), s -> s.out)".format(to)
+    step = f"named_struct('at', {_once('t.at', 'at', to)}, 'out', concat(t.out, array({_once('t.at', 'at', result)})))"
+    whole = f"flatten(zip_with(chunks, {begun}, (xs, first) -> aggregate(xs, named_struct('at', first, 'out', {_none(kind)}), (t, x) -> {step}, t -> t.out)))"
+    return _once(parts, "parts", f"case when size(parts) > 0 then {_once(_chunks('parts'), 'chunks', whole)} else {_none(kind)} end")
 
 
 def matches(text: str, pattern: str, kind: int, group: int, least: int, hint: str) -> str:
@@ -161,11 +164,14 @@ def _battery() -> str:
     uniform = f"case when e = {_BASE64} then {mixed} else {likely} end"
     kinds = f"translate(s, '{BASE64_ALPHABET}', '{'u' * 26 + 'l' * 26 + '0' * 10 + 'oo'}')"
     changing = f"(regexp_count({kinds}, 'u+|l+|0+|o+') - 1 - (n - 1) * {TEXT_CHANGES}D) / sqrt((n - 1) * {TEXT_CHANGES * (1 - TEXT_CHANGES)!r}D)"
-    number = f"cast(instr({of([''.join(a) for a in _LETTERS])}, c) as double)"
-    add = _once(number, "x", "named_struct('last', x, 'first', coalesce(a.first, x), 's', a.s + x, 'q', a.q + x * x, 'p', a.p + a.last * x)")
-    sums = f"aggregate(split(s, ''), named_struct('last', 0D, 'first', cast(null as double), 's', 0D, 'q', 0D, 'p', 0D), (a, c) -> {add})"
-    cov = "g.p - g.s / n * (2 * g.s - g.first - g.last) + (n - 1) * (g.s / n) * (g.s / n)"
-    ordered = _once(sums, "g", _once("g.q - g.s * (g.s / n)", "v", f"abs({cov}) * sqrt(n) > 4 * v or v <= 1e-9"))
+    # sums of the symbols' numbers, of their squares, and of their products with the next
+    numbers = of([[float(i + 1) for i in range(len(a))] for a in _LETTERS])
+    places = f"transform(split(s, ''), c -> cast(instr({of([''.join(a) for a in _LETTERS])}, c) as double))"
+    product = "aggregate(zip_with(at, slice(at, 2, size(at)), (x, y) -> coalesce(x * y, 0D)), 0D, (a, x) -> a + x)"
+    cov = f"{product} - mean * (2 * n * mean - at[0] - element_at(at, -1)) + (n - 1) * mean * mean"
+    var = f"aggregate(zip_with(counts, {numbers}, (c, x) -> c * x * x), 0D, (a, c) -> a + c) - n * mean * mean"
+    mean = f"aggregate(zip_with(counts, {numbers}, (c, x) -> c * x), 0D, (a, c) -> a + c) / n"
+    ordered = _once(mean, "mean", _once(places, "at", _once(var, "v", f"abs({cov}) * sqrt(n) > 4 * v or v <= 1e-9")))
     judged = f"case when not ({odd} or {ordered}) then ({uniform} + {changing}) / sqrt(2D) end"
     chi = f"aggregate(counts, 0D, (a, c) -> a + c * c) * {size} / n - n"
     return _once("cast(length(s) as double)", "n", _once(counts, "counts", _once(chi, "chi", judged)))

@@ -1,21 +1,24 @@
 """Substring deduplication (operator 1).
 
 A log-structured index of window fingerprints: each batch of documents becomes a sorted
-immutable run, is joined with the runs of earlier batches, verified, and the runs are compacted.
+immutable run, is merge-joined with the runs of earlier batches, verified, and the runs are
+compacted. Runs are dealt and sorted by anchor, so they meet without an exchange.
 
 What a run holds. A window is WINDOW consecutive words; its anchor is the least hash among its
 shingles of ANCHOR words. Equal windows have equal anchors, and neighbouring windows mostly share
 theirs, so a document falls into segments, maximal stretches of windows with one anchor, about
-one for every twenty windows. A run has one row for each different segment: anchor, 128-bit hash of the
+one for every twenty windows. A run has one row for each different segment: anchor, 128 bits of BLAKE2b of the
 segment's words, its number of windows, and the first document that holds it. Nothing is
 sampled: a window that also starts in an earlier document is found in one of two ways.
 
   1. Its whole segment also stands in an earlier document: one equality join on the segment.
   2. Its anchor has several different segments. Then the first document of each is read again
-     and its windows are compared one by one by their 128-bit hashes (the verification).
+     and the words of its windows are compared, by digests of 128 bits (the verification).
 
-Copies meet in way 1 and are reduced to one row before the shuffle, however many there are; way 2
-reads only first documents, so no group is ever gathered and no pairs within a group are made.
+An anchor is a candidate's key alone; words are compared by a cryptographic digest of their
+bytes in both ways. Copies are one row of a run, however many there are; way 2 reads only first
+documents, so no group is ever gathered and no pairs within a group are made. Rows of a segment or
+window that very many documents hold are not dealt by it (common.spread).
 """
 
 from __future__ import annotations
@@ -35,19 +38,10 @@ ANCHOR = 10
 #: Batches that a whole table is taken in, by ranges of doc_id, and runs of one level that are merged into one of the next.
 BATCHES = 2
 FANOUT = 2
-#: Tasks that look up one window.
-SALTS = 4
-
-_SALT = np.uint64(0xA0761D6478BD642F)
 _KEY = ("m", "s1", "s2", "n")
 _SEGMENTS = "m long, s1 long, s2 long, n int, doc long, t long, start int"
 
 
-def _second(h: np.ndarray) -> np.ndarray:
-    """Independent hashes of the same words."""
-    return common.mix(h ^ _SALT)
-
-
 def _least(g: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive entries, by doubling."""
     span, out = 1, g
@@ -65,11 +59,11 @@ def _windows(first: np.ndarray, window: int) -> np.ndarray:
 
 
 def _cut(texts: list[str | None], window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Segments of a block: text number, first window (within the text), number of windows, anchor and both hashes."""
-    h, first, *_ = common.word_hashes(texts)
+    """Segments of a block: text number, first window (within the text), number of windows, anchor and digest."""
+    h, first, data, *_ = common.word_hashes(texts)
     at = _windows(first, window)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 5
     m = _least(common.rolling(h, anchor), window - anchor + 1)[at]
     text = np.searchsorted(first, at, side="right") - 1
     new = np.concatenate([[True], (m[1:] != m[:-1]) | (text[1:] != text[:-1])])
@@ -77,7 +71,7 @@ def _cut(texts: list[str | None], window: int, anchor: int) -> tuple[np.ndarray,
     n = np.diff(np.concatenate([begin, [len(at)]]))
     start, text = at[begin], text[begin]
     end = start + n + window - 1
-    return text, start - first[text], n, m[begin], common.spans(h, start, end), common.spans(_second(h), start, end)
+    return text, start - first[text], n, m[begin], common.Sequences(data).digests(start, end)
 
 
 def segments(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -86,10 +80,10 @@ def segments(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in common.blocks(batch.column(2), 2_000_000):
-                text, start, n, m, s1, s2 = _cut(texts, window, anchor)
+                text, start, n, m, s = _cut(texts, window, anchor)
                 if len(text):
                     doc, t = (batch.column(k).slice(at, len(texts)).take(pa.array(text)) for k in (0, 1))
-                    arrays = [pa.array(m.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n.astype(np.int32)), doc, t, pa.array(start.astype(np.int32))]
+                    arrays = [pa.array(m.view(np.int64)), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(n.astype(np.int32)), doc, t, pa.array(start.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(arrays, names=["m", "s1", "s2", "n", "doc", "t", "start"])
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "t", "text").mapInArrow(run, _SEGMENTS)
@@ -106,75 +100,75 @@ class Index:
 
     ingest() takes a batch's segments and returns (covered, doubtful): segments of the batch
     that an earlier document holds as a whole, and the segments, new and old, whose windows
-    must be compared (verified()). Runs are never changed, only merged into new ones.
+    must be compared (verified()). Runs are never changed, only merged into new ones, as soon as
+    the next batch comes.
     """
 
     def __init__(self, scratch: common.Scratch, fanout: int = FANOUT):
         self.scratch, self.fanout = scratch, fanout
-        self.runs: list[tuple[int, str]] = []  # level, name
+        self.runs: list[tuple[int, str, DataFrame]] = []  # level, name, reader
         self.made = 0
 
     def _run(self, rows: DataFrame, level: int) -> DataFrame:
         name = f"run{self.made}"
         self.made += 1
-        out = self.scratch.save(rows.sortWithinPartitions("m"), name)
-        self.runs.append((level, name))
+        out = self.scratch.dealt(rows, name, "m")
+        self.runs.append((level, name, out))
         return out
 
     def read(self, name: str) -> DataFrame:
+        """A run's rows as they lie in its files. In a union, readers that promise how rows are dealt are not safe: the planner may rely on it and drop it."""
         return self.scratch.spark.read.parquet(self.scratch.path(name))
 
     def ingest(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        old = [self.read(name) for _, name in self.runs]
-        new = self._run(_firsts(batch), 0)
-        known = new
-        if old:
-            past = old[0]
-            for other in old[1:]:
-                past = past.unionAll(other)
-            past = past.join(new.select("m").distinct(), "m", "left_semi")
-            # an old row of a segment stands before any new one, as its doc_id is smaller
-            known = _firsts(past.unionAll(new))
+        self.compact()
+        old = [r for *_, r in self.runs]
+        known = new = self._run(_firsts(batch), 0)
         tag = f"batch{self.made}"
-        known = self.scratch.save(known, f"{tag}-known") if old else known
+        if old:
+            # each old run meets the new one by anchor; an old row of a segment stands before any new one, as its doc_id is smaller
+            past = [r.join(new.select("m").distinct().hint("merge"), "m", "left_semi") for r in old]
+            known = self.scratch.dealt(_firsts(_union([*past, self.read(self.runs[-1][1])])), f"{tag}-known", "m")
         several = known.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
-        doubtful = known.join(several, "m", "left_semi").select("doc", "t", "start", "n")
+        doubtful = known.join(several.hint("merge"), "m", "left_semi").select("doc", "t", "start", "n")
         f = known.select(*_KEY, F.col("doc").alias("fdoc"), F.col("t").alias("ft"), F.col("start").alias("fstart"))
         # a first document may hold a segment more than once: its other places are as doubtful as the first
-        held = batch.join(f, list(_KEY)).where("fdoc < doc or (fdoc = doc and (ft <> t or fstart <> start))")
+        held = common.spread(batch, f, list(_KEY), common.hot_keys(batch, list(_KEY))).where("fdoc < doc or (fdoc = doc and (ft <> t or fstart <> start))")
         held = self.scratch.save(held.select("doc", "t", "start", "n", (F.col("fdoc") < F.col("doc")).alias("sure")), f"{tag}-held")
         doubtful = self.scratch.save(doubtful.unionAll(held.where("not sure").select("doc", "t", "start", "n")), f"{tag}-doubtful")
         if old:
             self.scratch.drop(f"{tag}-known")
-        self.compact()
         return held.where("sure").select("doc", "t", "start", "n"), doubtful
 
     def compact(self) -> None:
-        """Merge the runs of a level as soon as there are enough of them."""
+        """Merge the runs of a level where there are enough of them."""
         level = 0
-        while len(names := [n for at, n in self.runs if at == level]) >= self.fanout:
-            rows = self.read(names[0])
-            for n in names[1:]:
-                rows = rows.unionAll(self.read(n))
-            self.runs = [r for r in self.runs if r[1] not in names]
-            self._run(_firsts(rows), level + 1)
-            self.scratch.drop(*names)
+        while len(some := [r for r in self.runs if r[0] == level]) >= self.fanout:
+            self.runs = [r for r in self.runs if r[0] != level]
+            self._run(_firsts(_union([self.read(name) for _, name, _ in some])), level + 1)
+            self.scratch.drop(*[name for _, name, _ in some])
             level += 1
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionAll(frame)
+    return out
+
+
 def _by_document(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
 
 
-def verified(docs: DataFrame, doubtful: DataFrame, window: int = WINDOW) -> DataFrame:
+def verified(docs: DataFrame, doubtful: DataFrame, window: int = WINDOW, scratch: common.Scratch | None = None) -> DataFrame:
     """Windows of doubtful segments that an earlier document among them also has: doc, t, start, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(3).is_valid())
             for at, texts in common.blocks(batch.column(2), 2_000_000):
-                h, first, *_ = common.word_hashes(texts)
-                w1, w2 = common.rolling(h, window), common.rolling(_second(h), window)
+                _, first, data, *_ = common.word_hashes(texts)
                 parts = batch.column(3).slice(at, len(texts))
                 flat = parts.flatten()
                 if not len(flat):
@@ -186,22 +180,22 @@ def verified(docs: DataFrame, doubtful: DataFrame, window: int = WINDOW) -> Data
                 owner = np.repeat(owner, n)
                 spot = first[owner] + place
                 doc, t = (batch.column(k).slice(at, len(texts)).take(pa.array(owner)) for k in (0, 1))
-                arrays = [pa.array(w1[spot].view(np.int64)), pa.array(w2[spot].view(np.int64)), doc, t, pa.array(place.astype(np.int32))]
+                w = common.Sequences(data).digests(spot, spot + window)
+                arrays = [pa.array(w[:, 0]), pa.array(w[:, 1]), doc, t, pa.array(place.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["w1", "w2", "doc", "t", "start"])
 
-    listed = _joined(docs, doubtful.distinct())
-    rows = listed.mapInArrow(run, "w1 long, w2 long, doc long, t long, start int")
+    scratch = common.Scratch(docs.sparkSession, "windows") if scratch is None else scratch
+    listed = _joined(docs, doubtful.distinct(), "inner")
+    rows = scratch.save(listed.mapInArrow(run, "w1 long, w2 long, doc long, t long, start int"), "windows")
     least = rows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w1", "w2", "least")
-    # a window that very many documents have is looked up by several tasks
-    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, ["w1", "w2", "salt"]).where("least < doc").select("doc", "t", "start", F.lit(1).alias("n"))
+    found = common.spread(rows, least, ["w1", "w2"], common.hot_keys(rows, ["w1", "w2"]))
+    return found.where("least < doc").select("doc", "t", "start", F.lit(1).alias("n"))
 
 
-def _joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, t, text of every document, with its list of (start, n), or null."""
-    lists = _by_document(rows).select(F.col("doc").alias("d"), F.col("t").alias("dt"), "parts")
-    return docs.join(lists, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("dt")), "left").select("doc_id", "t", "text", "parts")
+def _joined(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """doc_id, t, text of documents that have a doc_id, with the list of (start, n)."""
+    lists = _by_document(rows).select(F.col("doc").alias("d"), F.col("t").alias("dt"), "parts").hint("merge")
+    return docs.where("doc_id is not null").join(lists, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("dt")), how).select("doc_id", "t", "text", "parts")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, texts: bool = False) -> DataFrame:
@@ -228,8 +222,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bat
         sure, open_ = index.ingest(part)
         covered.append(sure)
         doubtful.append(open_)
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionAll(union(frames[1:]))
-    covered = union([*covered, verified(docs, union(doubtful), window)])
+    covered = scratch.save(_union([*covered, verified(docs, _union(doubtful), window, scratch)]), "covered")
+    scratch.clear("covered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,5 +244,6 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bat
                 arrays = [batch.column(0).slice(at, len(block)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = _joined(docs, covered).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    nowhere = docs.where("doc_id is null").select("doc_id", "t", "text", F.lit(None).cast("array<struct<start:int,n:int>>").alias("parts"))
+    out = _joined(docs, covered, "left").unionAll(nowhere).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")

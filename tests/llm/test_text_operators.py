@@ -48,8 +48,27 @@ def test_index_keeps_what_runs_hold(documents, spark):
     index = substrings.Index(scratch, fanout=2)
     for low in range(0, 400, 100):
         index.ingest(found.where(f"doc >= {low} and doc < {low + 100}"))
+    index.compact()
     assert len(index.runs) == 1 and index.runs[0][0] == 2  # four runs became one, two levels up
-    assert index.read(index.runs[0][1]).count() == found.where("doc < 400").select("m", "s1", "s2", "n").distinct().count()
+    assert index.runs[0][2].count() == found.where("doc < 400").select("m", "s1", "s2", "n").distinct().count()
+
+
+def thue_morse(n):
+    """A word of n letters and its complement: polynomials in an odd number, modulo a power of two, take them for equal."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_break_polynomial_hashes_are_told_apart(spark):
+    same, (x, y) = " ".join(f"w{i}" for i in range(49)), thue_morse(2048)
+    many, swapped = (" ".join("uv"[c == "b"] for c in w) for w in (x, y))
+    rows = [(1, f"{same} {x}"), (2, f"{same} {y}"), (3, x), (4, y), (5, many), (6, swapped)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(substrings.deduplicate(df), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substrings(rows), key=str)
+    assert got(substrings.deduplicate(df), "doc_id", "n_removed")[:2] == [(1, 0), (2, 0)]
+    assert got(minhash.classes(df), "doc_id", "class_id") == brute.classes(rows)
+    found = dict(got(minhash.classes(df), "doc_id", "class_id"))
+    assert found[3] == 3 and found[4] == 4
 
 
 # --- 2 ---
@@ -181,7 +200,6 @@ def test_packing(documents, corpus):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.pack(documents, capacity=256, open_bins=8).collect()
     by_doc = defaultdict(list)
     for r in rows:
@@ -213,8 +231,7 @@ def test_tokens_are_those_of_the_library(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    assert np.frombuffer(packing.Tokens().ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Tokens().whole(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_added_tokens_are_one_id(spark):
