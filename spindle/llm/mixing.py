@@ -5,10 +5,12 @@ Efraimidis-Spirakis sampling: a document's key is -ln(u) / weight, u a hash of t
 without replacement, cut where their sizes reach the source's token budget. Complete epochs
 (every document once) come before this fractional selection.
 
-No source is sorted as a whole, however much of the table it holds: keys are first put into
-BUCKETS ranges, whose sizes are summed before the shuffle; a prefix sum over at most BUCKETS rows
-a source finds the range where the budget ends, and only that range's documents are sorted.
-Selection is then a comparison with one key per source, so texts are never shuffled.
+No source is sorted as a whole, however much of the table it holds and however its weights lie:
+keys are numbers of KEY_BITS bits, and the place in a source's order where its budget ends is found
+digit by digit. Of each digit, sizes are summed before the shuffle; a prefix sum over at most 2**DIGIT
+rows a source finds the digit where the budget ends, and the next digit is looked at among the
+documents that share it. Selection is then a comparison with one key per source, so texts are never
+shuffled.
 """
 
 from __future__ import annotations
@@ -18,30 +20,35 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 4096
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
+#: A key is floor(-ln(u) / weight * 2**POINT); u is not below 2**-53 and a weight not below LEAST_WEIGHT, so KEY_BITS bits hold it.
+POINT, KEY_BITS, DIGIT = 48, 60, 15
+LEAST_WEIGHT = 0.01
 
 
 def quality_weight(text: Column) -> Column:
-    """From 0.01 to 1: the share of letters and white space among the characters, to the fourth power."""
-    kept = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", ""))
-    return F.greatest(F.lit(0.01), F.pow(kept / F.greatest(F.length(text), F.lit(1)), F.lit(4.0)))
-
-
-def sized(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, source, size, key and bucket of every document, without its text; whole: also row, all that docs has."""
-    rows = common.take(docs, doc_id="long", text="string", source="string")
-    if whole:
-        at = {name: f"c{common.place(docs, name)}" for name in ("doc_id", "text", "source")}
-        held = common.plain(docs)
-        rows = held.select(F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).cast("string").alias("text"), F.col(at["source"]).cast("string").alias("source"), F.struct(*held.columns).alias("row"))
-    text = common.trimmed(F.col("text"))
-    # 52 bits of the hash, moved off zero and one
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", text), 12) + F.lit(0.5)) / F.lit(float(2**52))
-    size = F.regexp_count(text, F.lit(common.WORD)).cast("long")
-    rows = rows.select("doc_id", "source", size.alias("size"), (-F.ln(u) / quality_weight(text)).alias("key"), *(["row"] if whole else []))
-    return rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
+    """From LEAST_WEIGHT to 1: the share of letters and white space among the characters, to the fourth power."""
+    kept = F.length(F.regexp_replace(text, r"[^\p{L}\x20\x09-\x0D]+", "")) / F.greatest(F.length(text), F.lit(1))
+    return kept * kept * kept * kept
+
+
+def sized(docs: DataFrame, weight: str | None = None, whole: bool = False) -> DataFrame:
+    """doc_id, source, size and key of every document, without its text; whole: also row, all that docs has.
+
+    weight: a column of docs, such as the score of a quality classifier; by default quality_weight(text).
+    """
+    names = ("doc_id", "text", "source", *([weight] if weight else []))
+    at = {name: F.col(f"c{common.place(docs, name)}") for name in names}
+    held = common.plain(docs)
+    rows = held.select(at["doc_id"].cast("long").alias("doc_id"), F.coalesce(at["text"].cast("string"), F.lit("")).alias("text"), at["source"].cast("string").alias("source"), (at[weight].cast("double") if weight else F.lit(None).cast("double")).alias("w"), *([F.struct(*held.columns).alias("row")] if whole else []))
+    # 52 bits of a digest of the document, moved off zero and one
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
+    w = quality_weight(F.col("text")) if weight is None else F.when(F.isnan("w"), F.lit(0.0)).otherwise(F.coalesce("w", F.lit(0.0)))
+    key = F.floor(-F.ln(u) / F.least(F.greatest(w, F.lit(LEAST_WEIGHT)), F.lit(1.0)) * float(2**POINT)).cast("long")
+    size = F.regexp_count("text", F.lit(common.WORD)).cast("long")
+    return rows.select("doc_id", "source", size.alias("size"), key.alias("key"), *(["row"] if whole else []))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -70,52 +77,56 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return ranked.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).select("source", "source_size", "target", "epochs", "rest")
 
 
-def plan(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row per source: source, source_size, target, epochs, and the range (cut_bucket) and key (cut_key) where the fractional selection ends."""
-    ranges = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    wanted = targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    w = wanted.select(F.col("source").alias("s"), "rest")
-    by_bucket = Window.partitionBy("source").orderBy("bucket")
-    sums = ranges.withColumn("upto", F.sum("size").over(by_bucket)).join(w, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # the first range that goes beyond the rest; where none does, all of them are taken
-    edge = sums.where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"), "rest"), "bucket").alias("e"))
-    edge = edge.select(F.col("source").alias("s"), "e.*").withColumnRenamed("bucket", "b")
-    inside = keyed.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    by_key = Window.partitionBy("s").orderBy("key")
-    inside = inside.withColumn("upto", F.sum("size").over(by_key))
-    near = F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("rest")
-    cut = inside.where(near).groupBy("s").agg(F.max("key").alias("cut_key"))
-    edge, cut = edge.select(F.col("s").alias("s1"), F.col("b").alias("cut_bucket")), cut.select(F.col("s").alias("s2"), "cut_key")
-    return wanted.join(edge, F.col("source").eqNullSafe(F.col("s1")), "left").join(cut, F.col("source").eqNullSafe(F.col("s2")), "left").select(
-        "source", "source_size", "target", "epochs", F.coalesce("cut_bucket", F.lit(BUCKETS + 1)).alias("cut_bucket"), F.coalesce("cut_key", F.lit(-1.0)).alias("cut_key")
-    )
+def plan(keyed: DataFrame, scratch: common.Scratch, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """One row per source: s (the source), source_size, target, epochs, and cut, the last key of the fractional selection."""
+    wanted = scratch.save(targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    # the first digits of the key at which the budget ends, and the sizes of all documents before them
+    edge = wanted.select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    for shift in range(KEY_BITS - DIGIT, -1, -DIGIT):
+        digits = F.shiftright("key", shift)
+        inside = keyed.select("source", "size", digits.alias("digits"), F.shiftright("key", shift + DIGIT).alias("upper")).join(edge, same & (F.col("upper") == F.col("prefix")))
+        # before and rest are the same in all rows of a source
+        sums = inside.groupBy("s", "digits").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+        upto = F.col("before") + F.sum("size").over(Window.partitionBy("s").orderBy("digits"))
+        # at the last digit, documents are taken as long as the middle of the next is within the budget
+        over = F.col("upto") - (F.col("size") / 2 if shift == 0 else 0) > F.col("rest")
+        found = sums.withColumn("upto", upto).where(over).groupBy("s").agg(F.min(F.struct("digits", (F.col("upto") - F.col("size")).alias("before"), "rest")).alias("e"))
+        edge = scratch.save(found.select("s", "e.rest", F.col("e.digits").alias("prefix"), "e.before"), f"edge{shift}")
+    # where no document goes beyond the budget, all are taken; where the last digit had none left, those up to it
+    cut = edge.select(F.col("s").alias("s0"), (F.col("prefix") - 1).alias("cut"))
+    first = scratch.spark.read.parquet(scratch.path(f"edge{DIGIT}")).select(F.col("s").alias("s1"), (F.shiftleft(F.col("prefix") + 1, DIGIT) - 1).alias("wide"))
+    rows = wanted.withColumnRenamed("source", "s").join(cut, F.col("s").eqNullSafe(F.col("s0")), "left").join(first, F.col("s").eqNullSafe(F.col("s1")), "left")
+    rows = scratch.save(rows.select("s", "source_size", "target", "epochs", F.coalesce("cut", "wide", F.lit(2**KEY_BITS)).alias("cut")), "plan")
+    scratch.drop("targets", *[f"edge{shift}" for shift in range(0, KEY_BITS, DIGIT)])
+    return rows
 
 
 def times() -> Column:
     """How often the mix takes a document, by its key and its source's plan."""
-    chosen = (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & (F.col("key") <= F.col("cut_key")))
-    return F.col("epochs") + chosen.cast("long")
+    return F.col("epochs") + (F.col("key") <= F.col("cut")).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, weight: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document.
 
+    weight: the column of documents' quality weights, null or NaN as the least; by default they follow from the text.
     A null text has size 0; a null source is a source of its own, last in order; sources or
     documents of size 0 take and give nothing; equal rows have equal keys and are chosen
-    together; an empty table gives no rows. Only doc_id, text and source are read. The key
-    is a hash of the row, so any rerun gives the same mix.
+    together; an empty table gives no rows. Only doc_id, text, source and weight are read. The key
+    is a digest of the row, so any rerun gives the same mix.
     """
     scratch = common.Scratch(docs.sparkSession, "mix")
-    keyed = scratch.save(sized(docs), "keyed")
-    planned = scratch.save(plan(keyed, weights, most), "plan").withColumnRenamed("source", "s")
+    keyed = scratch.save(sized(docs, weight), "keyed")
+    planned = plan(keyed, scratch, weights, most)
     return keyed.join(planned, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
 
 
-def sample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+def sample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, weight: str | None = None) -> DataFrame:
     """The mix itself: the rows of docs with all their columns, each as often as the mix takes it (documents without words: never)."""
     scratch = common.Scratch(docs.sparkSession, "mix")
-    keyed = scratch.save(sized(docs), "keyed")
-    planned = scratch.save(plan(keyed, weights, most), "plan").withColumnRenamed("source", "s")
-    rows = sized(docs, whole=True).join(planned, F.col("source").eqNullSafe(F.col("s")))
+    planned = plan(scratch.save(sized(docs, weight), "keyed"), scratch, weights, most)
+    scratch.drop("keyed")
+    rows = sized(docs, weight, whole=True).join(planned, F.col("source").eqNullSafe(F.col("s")))
     taken = F.when(F.col("size") > 0, times()).otherwise(F.lit(0))
     return rows.withColumn("taken", taken).where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken")))).select("row.*").toDF(*docs.columns)

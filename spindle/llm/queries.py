@@ -67,6 +67,24 @@ ORACLE_SQL: dict[str, str] = {
         r as (select doc_id, list(i) gone from c group by doc_id),
         k as (select d.doc_id, w, coalesce(gone, []) gone, list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)) kept from d left join r using (doc_id))
         select doc_id, cast(len(w) as bigint) n_words, cast(len(gone) as bigint) n_removed, sha256(array_to_string(kept, ' ')) kept_sha256 from k""",
+    "op7_source_mixing": """
+        with d as (select doc_id, source, coalesce(text, '') t from documents),
+        b as (select doc_id, source, t, cast(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) as bigint) size,
+                     length(regexp_replace(t, '[^\\p{L}\\x20\\x09-\\x0D]+', '', 'g')) / cast(greatest(length(t), 1) as double) q,
+                     (cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || t), 1, 13) as bigint) + 0.5) / cast(4503599627370496 as double) u from d),
+        k as (select doc_id, source, size, cast(floor(-ln(u) / least(greatest(q * q * q * q, cast(0.01 as double)), cast(1 as double)) * cast(281474976710656 as double)) as bigint) key from b),
+        s as (select source, cast(sum(size) as bigint) source_size from k group by source),
+        w as (select *, cast((row_number() over (order by source is null, source) - 1) % 3 + 1 as double) w, cast(source_size * 3 as double) ceiling from s),
+        l as (select *, (sum(source_size) over () - coalesce(sum(ceiling) over (order by ceiling / w, source is null, source rows between unbounded preceding and 1 preceding), 0))
+                        / sum(w) over (order by ceiling / w, source is null, source rows between current row and unbounded following) as "level" from w),
+        f as (select *, ceiling <= w * "level" as "full" from l),
+        g as (select *, (cast(sum(source_size) over () as double) - coalesce(sum(case when "full" then ceiling end) over (), 0)) / sum(case when not "full" then w end) over () as rate from f),
+        t as (select source, source_size, case when "full" then ceiling else w * rate end target from g),
+        e as (select *, case when source_size = 0 then 0 else least(cast(floor(target / greatest(source_size, 1)) as bigint), 3) end epochs from t),
+        c as (select k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size rest,
+                     sum(k.size) over (partition by k.source order by k.key) upto, sum(k.size) over (partition by k.source, k.key) peers
+              from k join e on k.source is not distinct from e.source)
+        select doc_id, size, source_size, target, cast(size * (epochs + case when upto - peers / 2.0 <= rest then 1 else 0 end) as bigint) taken from c""",
     "op10_exact_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
                    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
