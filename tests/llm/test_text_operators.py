@@ -404,6 +404,19 @@ def test_equal_buckets_are_compared(documents, monkeypatch):
     assert groups(plain) == groups(weak)
 
 
+def test_many_documents_without_an_id_are_in_many_ranges(spark):
+    rows = [(None if i % 3 else 5, f"text {i} " * (i % 7 + 1)) for i in range(300)] + [(9, "last one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = fingerprints.followed(df).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+    follows = {r.text: r.next for r in out}
+    at, seen = "last one", []
+    for _ in rows:
+        seen.append(at := follows[at])
+    ids = {t: d for d, t in rows}
+    assert sorted(seen) == sorted(ids) and [ids[t] for t in seen] == [None] * 200 + [5] * 100 + [9]
+
+
 def test_one_document_follows_itself(spark):
     r = fingerprints.fingerprints(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and r.near_next == 1.0
