@@ -29,7 +29,7 @@ EPOCHS = 6
 RATE = 1.0
 #: Bounds of the training sample: documents for each language, and of all; past the second, each of many languages has fewer, but some.
 PER_LANGUAGE = 800
-MOST_SAMPLED = 80_000
+MOST_SAMPLED = 20_000
 LEAST_A_LANGUAGE = 20
 #: What accepted predictions are to reach on the rows kept out of the training.
 ACCEPTED_ACCURACY = 0.99
@@ -121,8 +121,8 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, trained: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
     """Languages, score table, bias, temperature and rejection level, learned from rows where `trained` holds.
 
-    Every lang is learned. The sample is by a hash of doc_id, about per_language rows of each language, whatever
-    the table's size; of more languages than MOST_SAMPLED allows for, fewer rows each.
+    Every lang is learned. The sample is by a hash of doc_id and text, about per_language rows of each language, whatever
+    the table's size; of more languages than MOST_SAMPLED allows for, fewer rows each. Equal rows are learned from once.
     """
     rows = docs.where(trained & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().collect()
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, trained: Column, per_language: int = PER_LANGUAGE) -> t
     per_language = min(per_language, max(LEAST_A_LANGUAGE, MOST_SAMPLED // len(languages)))
     shares = [(r["lang"], int(1_000_000 * min(1.0, per_language / r["count"])) or 1) for r in counts]
     of = F.element_at(F.from_json(F.lit(json.dumps(dict(shares))), "map<string,int>"), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000)) < of).select("doc_id", "lang", "text")
+    picked = rows.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1_000_000)) < of).select("doc_id", "lang", "text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +142,8 @@ def fit(docs: DataFrame, trained: Column, per_language: int = PER_LANGUAGE) -> t
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "ids", "share"])
 
     got = picked.mapInArrow(run, "doc_id long, lang string, ids array<int>, share array<float>").toPandas()
-    got = got.sort_values(["doc_id", "lang"], kind="stable", na_position="first")
+    got["first"] = [tuple(i[:8]) for i in got["ids"]]  # rows of one doc_id in an order of their own
+    got = got.sort_values(["doc_id", "lang", "first"], kind="stable", na_position="first")
     x = [(np.asarray(i, np.int64), np.asarray(s, np.float32)) for i, s in zip(got["ids"], got["share"])]
     number = {v: k for k, v in enumerate(languages)}
     y = np.array([number[v] for v in got["lang"]], np.int64)

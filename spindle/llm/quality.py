@@ -147,18 +147,37 @@ def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _known(labels: DataFrame, held_out: Column | None) -> DataFrame:
+    """doc_id and quality of the labelled documents that may be learned from."""
+    known = common.take(labels, doc_id="long", quality="int").where("quality in (0, 1) and doc_id is not null")
+    return known.where(~(_held_out() if held_out is None else held_out)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
+def _in_sample(known: DataFrame, max_fit: int) -> Column:
+    """Whether a doc_id is in the sample of about max_fit of the known ones."""
+    share = min(1.0, max_fit / max(1, known.count()))
+    return F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def learned(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_fit: int = MAX_FIT) -> Model:
+    """fit() from documents: statistics are made of those alone that may be in the sample."""
+    chosen = common.take(docs, doc_id="long", text="string").where(_in_sample(_known(labels, held_out), max_fit))
+    scratch = common.Scratch(docs.sparkSession, "quality")
+    model = fit(scratch.save(described(chosen), "statistics"), labels, held_out, max_fit)
+    scratch.clear()
+    return model
+
+
 def fit(stats: DataFrame, labels: DataFrame, held_out: Column | None = None, max_fit: int = MAX_FIT) -> Model:
     """Learned from labelled rows that are not held out: four in five for the ridge, the fifth for calibration.
 
-    Of more than max_fit such rows, a sample by a hash of doc_id of about that many is taken.
-    Conflicting labels of one doc_id: the greater. Without both labels, every score is the mean label.
+    Of more than max_fit such documents, a sample by a hash of doc_id of about that many is taken. Of a doc_id's several
+    texts the one of the least statistics is learned from. Conflicting labels of one doc_id: the
+    greater. Without both labels, every score is the mean label.
     """
-    held_out = _held_out() if held_out is None else held_out
-    known = common.take(labels, doc_id="long", quality="int").where("quality in (0, 1) and doc_id is not null")
-    known = known.where(~held_out).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = min(1.0, max_fit / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = stats.join(known, "doc_id").select("x", F.col("quality").cast("double").alias("y"), (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) == 4).alias("second"), F.pmod(F.xxhash64("doc_id"), F.lit(FIT_TASKS)).alias("task"))
+    known = _known(labels, held_out)
+    known = known.where(_in_sample(known, max_fit))
+    rows = stats.where("doc_id is not null").groupBy("doc_id").agg(F.min("x").alias("x")).join(known, "doc_id").select("x", F.col("quality").cast("double").alias("y"), (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) == 4).alias("second"), F.pmod(F.xxhash64("doc_id"), F.lit(FIT_TASKS)).alias("task"))
     rows = common.Scratch(stats.sparkSession, "quality").save(rows.repartition(FIT_TASKS, "task"), "fit")
     first = rows.where(~F.col("second"))
 

@@ -108,6 +108,9 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = K, scale
     count = -(-asked // query_block)
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)))
     queries = scratch.save(queries, "queries") if count > 1 else queries
+    # of several passes, each reads what the first has scaled and sorted
+    rows = rows.sortWithinPartitions(F.desc("sq"))
+    rows = scratch.save(rows, "sorted") if count > 1 else rows
     found: DataFrame | None = None
     for block in range(count):
         mine = queries.where(F.col("block") == block).select("vec_id", "v").toPandas()
@@ -136,11 +139,11 @@ def _pass(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, seed_ids: np.ndarra
         q_ids, q, q_head, q_rest, q_len, limit, turn = shared.value
         best = (np.zeros(0, np.int64),) * 3
         for part in parts:
-            longest = float(part["sq"].iloc[0]) ** 0.5 if len(part) else 0.0
+            longest = float(part["sq"].max()) ** 0.5 if len(part) else 0.0
             slack = 1e-9 * (1 + q_len * longest)
             alive = np.flatnonzero(q_len * longest + slack >= limit)
             if not len(alive):
-                break  # what follows is shorter still
+                continue  # what follows in the same file is shorter still
             ids, x = part["vec_id"].to_numpy(), _matrix(part["v"], d)
             turned = x.astype(float) @ turn
             x_rest = np.sqrt((turned[:, head:] ** 2).sum(1))
@@ -159,4 +162,4 @@ def _pass(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, seed_ids: np.ndarra
         if len(best[0]):
             yield pd.DataFrame({"query_id": q_ids[best[0]], "vec_id": best[1], "score": best[2]})
 
-    return rows.sortWithinPartitions(F.desc("sq")).mapInPandas(run, _FOUND)
+    return rows.mapInPandas(run, _FOUND)
