@@ -1,7 +1,8 @@
 """A training corpus from documents: quality, near duplicates, secrets, mixture, sequences.
 
 Each stage takes what the one before it kept, as a table of the columns of documents; the last
-returns the packed sequences. Texts cross the network once, where near duplicates go.
+returns the packed sequences. All texts cross the network once, where near duplicates go; those that share a
+bucket with others do so again, once for each piece of their group.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ from spindle.llm import common, minhash, mixing, packing, quality, secrets
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (operator 6) does not reject; it learns from those labelled."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    stats = common.Scratch(spark, "quality").save(quality.described(docs), "statistics")
-    return quality.accepted(docs, quality.fit(stats, labels))
+    return quality.accepted(docs, quality.learned(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
