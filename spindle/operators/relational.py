@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compat
 from ..session import Engine
+from ..sources.catalog import bucketed
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -104,7 +105,7 @@ dialect("join_natural", "select doc_id, lang, toxic from documents natural join
 query("join_left", "select d.doc_id, quality from documents d left join labels l on d.doc_id = l.doc_id", lambda t: t.documents.join(t.labels, ["doc_id"], "left").select("doc_id", "quality"))
 query("join_right", "select d.doc_id as a, l.doc_id as b from (select doc_id from documents where lang = 'de') d right join labels l on d.doc_id = l.doc_id", lambda t: t.documents.where("lang = 'de'").select(c("doc_id").alias("a")).join(t.labels.select(c("doc_id").alias("b")), c("a") == c("b"), "right"))
 query("join_full", "select a.n_nationkey as a, b.n_nationkey as b from (select * from nation where n_nationkey < 15) a full join (select * from nation where n_nationkey > 8) b on a.n_nationkey = b.n_nationkey", lambda t: t.nation.where("n_nationkey < 15").select(c("n_nationkey").alias("a")).join(t.nation.where("n_nationkey > 8").select(c("n_nationkey").alias("b")), c("a") == c("b"), "full"))
-query("join_cross", "select r_name, s_name from region cross join (select s_name from supplier where s_suppkey <= 3) s", lambda t: t.region.crossJoin(t.supplier.where("s_suppkey <= 3")).select("r_name", "s_name"))
+query("join_cross", "select r_name, s_name from region cross join supplier", lambda t: t.region.crossJoin(t.supplier).select("r_name", "s_name"))
 dialect("join_without_on", "select a.r_name as x, b.r_name as y from region a cross join region b", "select a.r_name as x, b.r_name as y from region a join region b", "region")
 query("join_self", "select a.n_name as x, b.n_name as y from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey", lambda t: t.nation.alias("a").join(t.nation.alias("b"), (c("a.n_regionkey") == c("b.n_regionkey")) & (c("a.n_nationkey") < c("b.n_nationkey"))).select(c("a.n_name").alias("x"), c("b.n_name").alias("y")))
 query("join_semi", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000)", lambda t: t.customer.join(t.orders.where("o_totalprice > 400000"), c("c_custkey") == c("o_custkey"), "left_semi").select("c_custkey"))
@@ -118,8 +119,9 @@ for _name, _op in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="), ("ne",
 def _bucketed(t: Tables) -> DataFrame:
     """Both sides bucketed on the join key: the join and the aggregate on it need no exchange."""
     spark = t.spark
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name, key, keep in (("orders", "o_orderkey", ["o_orderkey", "o_orderpriority"]), ("lineitem", "l_orderkey", ["l_orderkey", "l_quantity"])):
-        getattr(t, name).select(*keep).write.mode("overwrite").format("parquet").bucketBy(8, key).sortBy(key).saveAsTable(f"spindle_bucketed_{name}")
+        bucketed(getattr(t, name).select(*keep), f"spindle_bucketed_{name}", n, [key], "overwrite")
     joined = spark.table("spindle_bucketed_orders").join(spark.table("spindle_bucketed_lineitem"), c("o_orderkey") == c("l_orderkey"))
     return joined.groupBy("o_orderkey", "o_orderpriority").agg(F.sum("l_quantity").alias("q"))
 
@@ -172,18 +174,20 @@ dialect("substr", "select substr(c_mktsegment, 1, 2) as code, count(*) as n from
 
 # --- external commands ------------------------------------------------------------------------
 
-dialect("udx_cat", "select n_nationkey, n_name as x from nation", "select n_nationkey, F(n_name) as x from nation with F=\"cat\"", "nation")
-dialect("udx_upper", "select lower(r_name) as x, r_regionkey from region", "select F(r_name) as x, r_regionkey from region with F=\"tr A-Z a-z\" collective by 1", "region")
-dialect("udx_multi_arg", "select n_nationkey, cast(n_nationkey * 2 as varchar) || '-' || n_name as x from nation", "select n_nationkey, G(n_nationkey, n_name) as x from nation with G=\"awk -F# '{print $1 * 2 \"\"-\"\" $2}'\" input_col_delimiter '#'", "nation")
-dialect("udx_multi_col", "select n_nationkey, split_part(n_name, '_', 1) as x, split_part(n_name, '_', 2) as y from nation", "select n_nationkey, F(n_name) as (x, y) from nation with F=\"cat\" output_col_delimiter '_'", "nation")
+dialect("udx_cat", "select c_custkey, c_name as x from customer", "select c_custkey, F(c_name) as x from customer with F=\"cat\"", "customer")
+dialect("udx_upper", "select l_orderkey, l_linenumber, lower(l_returnflag) as x from lineitem", "select l_orderkey, l_linenumber, F(l_returnflag) as x from lineitem with F=\"tr A-Z a-z\" collective by 1", "lineitem")
+dialect("udx_multi_arg", "select o_orderkey, cast(o_orderkey * 2 as varchar) || '-' || o_orderpriority as x from orders", "select o_orderkey, G(o_orderkey, o_orderpriority) as x from orders with G=\"awk -F@ '{printf \"\"%d-%s\\n\"\", $1 * 2, $2}'\" input_col_delimiter '@'", "orders")
+dialect("udx_multi_col", "select p_partkey, split_part(p_brand, '#', 1) as x, split_part(p_brand, '#', 2) as y from part", "select p_partkey, F(p_brand) as (x, y) from part with F=\"cat\" output_col_delimiter '#'", "part")
 dialect("udx_explode", "select item_id, unnest(string_split(text, ' ')) as word from (select item_id, regexp_replace(trim(text), '\\s+', ' ', 'g') as text from benchmark)", "select item_id, F(regexp_replace(trim(text), '\\\\s+', ' ')) as word from benchmark with F=\"awk '{n=split($0,w,\"\" \"\"); for(i=1;i<=n;i++) print w[i]; print \"\"\"\"}'\" output_record_delimiter EMPTY_LINE -b 16", "benchmark")
-dialect("udx_chain", "select r_regionkey, reverse(lower(r_name)) as x from region", "select r_regionkey, A(B(r_name)) as x from region with B=\"tr A-Z a-z\" A=\"rev\"", "region")
-dialect("udx_file_io", "select r_regionkey, r_name as x from region", "select r_regionkey, F(r_name) as x from region with F=\"cp /tmp/udx_in /tmp/udx_out\" input '/tmp/udx_in' output '/tmp/udx_out'", "region")
+dialect("udx_chain", "select o_orderkey, reverse(lower(o_orderpriority)) as x from orders", "select o_orderkey, A(B(o_orderpriority)) as x from orders with B=\"tr A-Z a-z\" A=\"rev\"", "orders")
+dialect("udx_file_io", "select p_partkey, p_name as x from part", "select p_partkey, F(p_name) as x from part with F=\"cp /tmp/udx_in /tmp/udx_out\" input '/tmp/udx_in' output '/tmp/udx_out'", "part")
+dialect("udx_all", "select count(*)::varchar as n from orders", "select F(o_orderkey) as n from orders with F=\"awk 'END {print NR}'\" -b all", "orders")
 dialect("udx_two", "select p_partkey, lower(p_type) as a, length(p_name) as b from part", "select p_partkey, F(p_type) as a, cast(b as bigint) as b from (select p_partkey, p_type, G(p_name) as b from part with G=\"awk '{print length($0)}'\") x with F=\"tr A-Z a-z\"", "part")
 dialect("udx_group", "select x, count(*) as n from (select lower(p_type) as x from part) t group by x", "select x, count(*) as n from (select F(p_type) as x from part with F=\"tr A-Z a-z\") t group by x", "part")
-dialect("udx_join", "select n_name, lower(r_name) as x from nation join region on n_regionkey = r_regionkey where n_nationkey > 5", "select n_name, F(r_name) as x from nation, region where n_regionkey = r_regionkey and n_nationkey > 5 with F=\"tr A-Z a-z\"", "nation", "region")
+dialect("udx_join", "select o_orderkey, lower(c_mktsegment) as x from orders join customer on o_custkey = c_custkey where o_totalprice > 1000", "select o_orderkey, F(c_mktsegment) as x from orders, customer where o_custkey = c_custkey and o_totalprice > 1000 with F=\"tr A-Z a-z\"", "orders", "customer")
 dialect("udx_over_aggregate", "select o_orderpriority, cast(count(*) * 10 as varchar) as x from orders group by o_orderpriority", "select o_orderpriority, F(count(*)) as x from orders group by o_orderpriority with F=\"awk '{print $1 * 10}'\"", "orders")
-dialect("udx_arg_and_column", "select n_name, lower(n_name) as x from nation order by n_name limit 5", "select n_name, F(n_name) as x from nation order by n_name limit 5 with F=\"tr A-Z a-z\"", "nation")
+dialect("udx_arg_and_column", "select p_type, lower(p_type) as x from part", "select p_type, F(p_type) as x from part with F=\"tr A-Z a-z\"", "part")
+dialect("udx_limit", "select c_custkey, lower(c_name) as x from customer order by c_custkey limit 5", "select c_custkey, F(c_name) as x from customer order by c_custkey limit 5 with F=\"tr A-Z a-z\"", "customer")
 dialect("udx_unaligned", "select n_name as x from nation where n_name like '%1%'", "select F(n_name) as x from nation with F=\"grep 1\"", "nation")
 
 # --- statements that write --------------------------------------------------------------------
@@ -207,17 +211,70 @@ def _insert(t: Tables) -> DataFrame:
     return e.sql("select k, name from spindle_insert")
 
 
+def _folder(t: Tables, name: str) -> str:
+    return t.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/" + name
+
+
 def _import(t: Tables) -> DataFrame:
     """Written with a separator of two characters, loaded into a table partitioned by hash."""
     from ..sources import sink
 
     e = t.engine()
     e.execute("drop table if exists spindle_import")
-    e.execute("create table spindle_import (k int, name text, region int) partition by k chunk 4")
-    path = t.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/spindle_import_text"
-    sink.write(t.nation.select("n_nationkey", "n_name", "n_regionkey"), path, "@@", append=False)
+    e.execute("create table spindle_import (k int, name text, customer int) partition by k chunk 4")
+    path = _folder(t, "spindle_import_text")
+    sink.write(t.orders.select("o_orderkey", "o_orderpriority", "o_custkey"), path, "@@", append=False)
     e.execute(f".import {path} spindle_import -column_separator @@")
-    return e.sql("select k, name, region from spindle_import")
+    return e.sql("select k, name, customer from spindle_import")
+
+
+def _import_replace(t: Tables) -> DataFrame:
+    """Fields with line breaks and tabs, written as two characters each and read back by -replace."""
+    e = t.engine()
+    e.execute("drop table if exists spindle_import_replace")
+    e.execute("create table spindle_import_replace (k int, text text)")
+    path = _folder(t, "spindle_import_replace_text")
+    line = F.concat_ws("\t", "p_partkey", F.concat("p_name", F.lit("\\n"), "p_type", F.lit("\\t"), "p_brand"))
+    t.part.select(line).write.mode("overwrite").text(path)
+    e.execute(f".import {path} spindle_import_replace -replace")
+    return e.sql("select k, text from spindle_import_replace")
+
+
+def _import_xml(t: Tables) -> DataFrame:
+    """Records of XML files; a column's name is the end of its tags' path."""
+    e = t.engine()
+    e.execute("drop table if exists spindle_import_xml")
+    e.execute("create table spindle_import_xml (key int, name text, seg text)")
+    path = _folder(t, "spindle_import_xml_text")
+    t.customer.select(c("c_custkey").alias("key"), c("c_name").alias("name"), c("c_mktsegment").alias("seg")).write.mode("overwrite").format("xml").option("rowTag", "customer").option("rootTag", "customers").save(path)
+    e.execute(f".import {path} spindle_import_xml customer")
+    return e.sql("select key, name, seg from spindle_import_xml")
+
+
+def _temporary(t: Tables) -> DataFrame:
+    """A TEMP table takes rows like any other."""
+    e = t.engine("part")
+    e.execute("drop table if exists spindle_temp")
+    e.execute("create temp table spindle_temp (k int, name text)")
+    e.execute("insert into spindle_temp select p_partkey, p_name from part")
+    e.execute("insert into spindle_temp values (-1, 'none')")
+    return e.sql("select k, name from spindle_temp")
+
+
+def _indices(t: Tables) -> DataFrame:
+    """An index is metadata that .indices lists."""
+    e = t.engine("region")
+    e.execute("drop table if exists spindle_indexed")
+    e.execute("create table spindle_indexed as select r_regionkey as k, r_name as name from region")
+    e.execute("create index spindle_index on spindle_indexed (name)")
+    return e.sql(".indices spindle_indexed")
+
+
+def _nodes(t: Tables) -> DataFrame:
+    """Host ranges, written out."""
+    from ..plans import nodes
+
+    return t.spark.createDataFrame([(n,) for n in nodes.expand("host[[001-003]]")], "node string")
 
 
 def _multi_step(t: Tables) -> DataFrame:
@@ -234,4 +291,9 @@ def _multi_step(t: Tables) -> DataFrame:
 
 query("ctas_append", "select n_nationkey as k, n_name from nation where n_regionkey in (1, 2)", _ctas)
 query("insert_select", "select cast(r_regionkey as bigint) as k, r_name as name from region union all select 100, 'NOWHERE'", _insert)
-query("import_text", "select cast(n_nationkey as bigint) as k, n_name as name, cast(n_regionkey as bigint) as region from nation", _import)
+query("import_text", "select cast(o_orderkey as bigint) as k, o_orderpriority as name, cast(o_custkey as bigint) as customer from orders", _import)
+query("import_replace", "select cast(p_partkey as bigint) as k, p_name || chr(10) || p_type || chr(9) || p_brand as text from part", _import_replace)
+query("import_xml", "select cast(c_custkey as bigint) as key, c_name as name, c_mktsegment as seg from customer", _import_xml)
+query("temp_table", "select cast(p_partkey as bigint) as k, p_name as name from part union all select -1, 'none'", _temporary)
+query("create_index", "select 'name : spindle_index' as result", _indices)
+query("node_ranges", "select * from (values ('host001'), ('host002'), ('host003')) v(node)", _nodes)

@@ -145,10 +145,15 @@ def evaluate(call: Call, rows: list[tuple[str, ...]], width: int, aligned: bool
     return [[columns(r) for r in record] for record in records]
 
 
+#: Block size of one process for all rows.
+ALL = -1
+
+
 def apply(df: DataFrame, calls: list[Call], keep: list[str], block: int | None = None) -> DataFrame:
     """keep's columns of df and each call's outputs, as strings.
 
-    block: rows for one process; by default, an Arrow batch (spark.sql.execution.arrow.maxRecordsPerBatch).
+    block: rows for one process; by default, an Arrow batch (spark.sql.execution.arrow.maxRecordsPerBatch). ALL: one
+    process takes all rows, in one task that holds them; for commands such as sort or wc, whose answer needs them all.
     Null arguments go in as empty strings. Where nothing passes through and there is one call, output
     rows need not match input rows in number. Several calls with several rows for one input row must
     have as many rows, or one.
@@ -160,9 +165,15 @@ def apply(df: DataFrame, calls: list[Call], keep: list[str], block: int | None =
     kept = [f.name for f in fields]
     rows = df.select(*[f"`{c}`" for c in kept], *[df[f"`{a}`"].cast("string").alias(f"udx arg {i}") for i, a in enumerate(args)])
     places = {a: len(kept) + i for i, a in enumerate(args)}
+    whole, block = block == ALL, None if block == ALL else block
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = list(batches)
+        if every:
+            yield from pa.Table.from_batches(every).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in together(batches) if whole else batches:
             for start in range(0, batch.num_rows, block or max(1, batch.num_rows)):
                 part = batch.slice(start, block) if block else batch
                 out = [evaluate(c, list(zip(*[["" if v is None else v for v in part.column(places[a]).to_pylist()] for a in c.args])), len(c.outputs), aligned) for c in calls]
@@ -178,4 +189,4 @@ def apply(df: DataFrame, calls: list[Call], keep: list[str], block: int | None =
                     arrays += [pa.array([x[k] for x in cells], pa.string()) for k in range(len(c.outputs))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return (rows.repartition(1) if whole else rows).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 import dataclasses
 import itertools
 import os
@@ -101,7 +102,7 @@ class Engine:
             options, query = self._trailing(query)
         if rest:
             raise DialectError("not understood: " + " ".join(t.text for t in rest)[:80])
-        block = self.block if options.get("block") in (None, "all") else int(options["block"])
+        block = {None: self.block, "all": udx.ALL}[size] if (size := options.get("block")) in (None, "all") else int(size)
         known = (outer or {}) | {k: dataclasses.replace(v, tolerate=self.tolerate, timeout=self.timeout) for k, v in defs.items()}
         query = self._derived(query, params, known)
         if "collective" in options:
@@ -289,13 +290,22 @@ def connect(spark: SparkSession, **options) -> Connection:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """python -m spindle.session [STATEMENT ...]: statements as arguments, or a script on standard input."""
-    argv = sys.argv[1:] if argv is None else argv
+    """python -m spindle.session [options] [STATEMENT ...]: statements as arguments, or a script on standard input."""
+    parser = argparse.ArgumentParser(prog="spindle", description=main.__doc__)
+    parser.add_argument("statements", nargs="*", metavar="STATEMENT")
+    parser.add_argument("-b", "--block", help="rows for one process of an external command, or all")
+    parser.add_argument("--parse-syntax", action="store_true", help="print how statements are understood, and run nothing")
+    parser.add_argument("--parse-plan", action="store_true", help="print plans of queries, and run nothing")
+    args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("spindle").config("spark.ui.enabled", os.environ.get("SPINDLE_UI", "false")).getOrCreate()
-    engine = Engine(spark)
-    for text in argv or [sys.stdin.read()]:
+    engine = Engine(spark, block=udx.ALL if args.block == "all" else int(args.block) if args.block else None)
+    for text in args.statements or [sys.stdin.read()]:
         for statement in tk.statements(text):
-            engine.emit(engine.execute(statement))
+            if args.parse_syntax or args.parse_plan:
+                print(engine.syntax(statement) if args.parse_syntax else engine.plan(statement))
+            else:
+                engine.emit(engine.execute(statement))
+    engine.catalog.close()
     return 0
 
 

@@ -12,11 +12,17 @@ from ..plans.dialect import CreateIndex, CreateTable, DialectError
 _PREFIX = "spindle."
 
 
+def bucketed(df: DataFrame, name: str, n: int, keys: list[str], mode: str = "error") -> None:
+    """Store rows in n buckets, each a single sorted file: they are dealt by the key first, so a task writes one bucket, not a piece of each."""
+    df.repartition(n, *[F.col(f"`{k}`") for k in keys]).write.mode(mode).format("parquet").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+
+
 class Catalog:
     """What .tables, .schema, .indices and .show report is kept as table properties and settings."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.temporary: set[str] = set()
         self.settings: dict[str, str] = {"row_sep": "\n", "col_sep": "|", "output": "stdout", "chunk_num": "1", "replica_num": "1"}
 
     # -- metadata --
@@ -70,7 +76,7 @@ class Catalog:
 
             lines = self.spark.read.text(spec.node_file).collect()
             spec.nodes = [n for r in lines if r[0].strip() for n in expand(r[0].strip())]
-        return {"ddl": spec.ddl, "nodes": json.dumps(spec.nodes), "partition": json.dumps(spec.partition), "chunk": str(spec.chunk), "replica": str(spec.replica), "key": json.dumps(keys)}
+        return {"ddl": spec.ddl, "nodes": json.dumps(spec.nodes), "partition": json.dumps(spec.partition), "chunk": str(spec.chunk), "replica": str(spec.replica), "key": json.dumps(keys), "buckets": str(self.buckets(spec) if spec.partition else 0)}
 
     def create(self, spec: CreateTable) -> None:
         if self.exists(spec.name):
@@ -81,8 +87,7 @@ class Catalog:
         if spec.using == "fts4aux":
             return self._terms(spec)
         if spec.temporary:
-            self.spark.createDataFrame([], columns).createOrReplaceTempView(spec.name)
-            return
+            self.temporary.add(spec.name)
         cluster = f" CLUSTERED BY ({', '.join(f'`{c}`' for c in spec.partition)}) INTO {self.buckets(spec)} BUCKETS" if spec.partition else ""
         properties = self._quoted(self._described(spec, [c.name for c in spec.columns if c.key]))
         self.spark.sql(f"CREATE TABLE {spec.name} ({columns}) USING parquet{cluster} TBLPROPERTIES ({properties})")
@@ -100,18 +105,17 @@ class Catalog:
 
     def create_as(self, spec: CreateTable, df: DataFrame) -> None:
         """Store a result as a table; if the table exists and the statement says IF NOT EXISTS, rows are appended by position."""
-        if spec.temporary:
-            df.createOrReplaceTempView(spec.name)
-            return
         if self.exists(spec.name):
             if not spec.if_not_exists:
                 raise DialectError(f"table {spec.name} exists")
             self.append(df, spec.name)
             return
-        writer = df.write.format("parquet")
+        if spec.temporary:
+            self.temporary.add(spec.name)
         if spec.partition:
-            writer = writer.bucketBy(self.buckets(spec), *spec.partition)
-        writer.saveAsTable(spec.name)
+            bucketed(df, spec.name, self.buckets(spec), spec.partition)
+        else:
+            df.write.format("parquet").saveAsTable(spec.name)
         self.spark.sql(f"ALTER TABLE {spec.name} SET TBLPROPERTIES ({self._quoted(self._described(spec, []))})")
 
     def append(self, df: DataFrame, name: str) -> None:
@@ -120,7 +124,11 @@ class Catalog:
         if len(df.columns) != len(target):
             raise DialectError(f"{name} has {len(target)} columns, the rows have {len(df.columns)}")
         held = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        held.select(*[F.col(f"c{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(target)]).write.insertInto(name)
+        rows = held.select(*[F.col(f"c{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(target)])
+        known = self.properties(name)
+        if int(known.get("buckets", 0)):
+            rows = rows.repartition(int(known["buckets"]), *[F.col(f"`{k}`") for k in json.loads(known["partition"])])
+        rows.write.insertInto(name)
 
     def index(self, spec: CreateIndex) -> None:
         """Metadata alone: files carry column statistics, and sorted or bucketed tables do what an index would."""
@@ -133,7 +141,14 @@ class Catalog:
         value = json.dumps({"columns": spec.columns, "unique": spec.unique})
         self.spark.sql(f"ALTER TABLE {spec.table} SET TBLPROPERTIES ({self._quoted({f'index.{spec.name}': value})})")
 
+    def close(self) -> None:
+        """The session's TEMP tables go; they are tables like others until then, so rows can be put into them."""
+        for name in sorted(self.temporary):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.temporary.clear()
+
     def drop(self, name: str, if_exists: bool) -> None:
+        self.temporary.discard(name)
         if self.exists(name) and self.spark.catalog.getTable(name).isTemporary:
             self.spark.catalog.dropTempView(name)
         else:

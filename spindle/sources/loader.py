@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 def delimited(spark: SparkSession, path: str, schema: T.StructType, col_sep: str = "|", row_sep: str = "\n", unescape: bool = False) -> DataFrame:
     """Rows of a text file or folder; separators of any length. Fields that are missing, or do not fit their type, are null.
 
+    An empty line is a row of a table of one column, and none of others.
+
     Files are split among tasks at row separators; no row passes through the driver.
     """
     lines = spark.read.text(path, lineSep=row_sep)
@@ -24,7 +26,7 @@ def delimited(spark: SparkSession, path: str, schema: T.StructType, col_sep: str
         if not isinstance(f.dataType, (T.StringType, T.BinaryType)):
             value = F.trim(value).try_cast(f.dataType)
         out.append(value.cast(f.dataType).alias(f.name))
-    return lines.where("value <> ''").select(*out)
+    return (lines if len(schema) == 1 else lines.where("value <> ''")).select(*out)
 
 
 def _paths(schema: T.StructType, before: tuple[str, ...] = ()) -> list[tuple[str, ...]]:

@@ -149,3 +149,24 @@ def test_streamed_loading(engine, spark, tmp_path):
     stream = spark.readStream.schema("k long, v string").parquet(str(tmp_path / "in"))
     streaming.load(stream, engine.catalog, "events_in", str(tmp_path / "c")).awaitTermination(120)
     assert engine.sql("select count(*) from events_in").first()[0] == 4
+
+
+def test_temporary_tables_take_rows_and_go(spark, tmp_path):
+    e = Engine(spark)
+    e.execute("create temp table short_lived (v text)")
+    e.execute("insert into short_lived values ('a')")
+    (tmp_path / "in.txt").write_text("b\n\nc\n")
+    e.execute(f".import {tmp_path}/in.txt short_lived")
+    assert sorted(r[0] for r in e.sql("select v from short_lived").collect()) == ["", "a", "b", "c"]
+    e.catalog.close()
+    assert not e.catalog.exists("short_lived")
+
+
+def test_a_bucket_is_one_file(spark):
+    e = Engine(spark)
+    spark.range(0, 2000, 1, 6).selectExpr("id as k", "id * 2 as v").createOrReplaceTempView("numbers_in")
+    e.execute("drop table if exists dealt_by_key")
+    e.execute("create table dealt_by_key as select k, v from numbers_in partition by k chunk 4")
+    assert len(spark.table("dealt_by_key").inputFiles()) == 4
+    e.execute("create table if not exists dealt_by_key as select k + 5000, v from numbers_in")
+    assert len(spark.table("dealt_by_key").inputFiles()) == 8 and spark.table("dealt_by_key").count() == 4000

@@ -92,3 +92,10 @@ def test_streams(spark, tmp_path):
     q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(i, f"x{i}") for i in range(5)]
+
+
+def test_all_rows_in_one_process(engine, spark):
+    spark.range(0, 5000, 1, 7).selectExpr("cast(4999 - id as string) as v").createOrReplaceTempView("many_rows")
+    assert [r[0] for r in engine.sql("select F(v) as n from many_rows with F=\"awk 'END {print NR}'\" -b all").collect()] == ["5000"]
+    assert [int(r[0]) for r in engine.sql('select F(v) as n from many_rows with F="sort -n" -b all').collect()] == list(range(5000))
+    assert engine.sql('select F(v) as n from many_rows where v < 0 with F="cat" -b all').count() == 0
