@@ -62,12 +62,12 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 
 class _Block:
-    __slots__ = ("text", "linked", "bad", "main", "heading", "home", "depth")
+    __slots__ = ("text", "linked", "bad", "main", "heading", "home", "depth", "lead")
 
-    def __init__(self, bad: bool, main: bool, heading: bool, home: int, depth: int = 0):
+    def __init__(self, bad: bool, main: bool, heading: bool, home: int, depth: int = 0, lead: bool = False):
         self.text: list[str] = []
         self.linked = 0
-        self.bad, self.main, self.heading, self.home, self.depth = bad, main, heading, home, depth
+        self.bad, self.main, self.heading, self.home, self.depth, self.lead = bad, main, heading, home, depth, lead
 
 
 def _cues(attrs: str) -> tuple[set[str], bool, str]:
@@ -93,9 +93,9 @@ def _cues(attrs: str) -> tuple[set[str], bool, str]:
 def cut(page: str) -> list[_Block]:
     """Blocks of a page in order, each with where it stands."""
     out: list[_Block] = []
-    # tag, bad, main, in a header, heading, number of the element that holds its blocks, then what an article inside is not
+    # tag, bad, main, in a header (1: of the page, 2: of the article), heading, number of the element that holds its blocks, then what an article inside is not
     # bad for: number of elements around that are bad by class or id alone, in a header by class or id alone, number of both above the article
-    stack: list[tuple[str, bool, bool, bool, bool, int, int, bool, int]] = [("", False, False, False, False, 0, 0, False, 0)]
+    stack: list[tuple[str, bool, bool, int, bool, int, int, bool, int]] = [("", False, False, 0, False, 0, 0, False, 0)]
     homes = 0
     block = _Block(False, False, False, 0)
     links = 0
@@ -106,7 +106,7 @@ def cut(page: str) -> list[_Block]:
         if block.text:
             out.append(block)
         _, bad, main, header, heading, home, named, headed, depth = stack[-1]
-        block = _Block(bad or named > 0 or ((header or headed) and not (main and heading)), main, heading, home, depth)
+        block = _Block(bad or named > 0 or ((header == 1 or headed) and not (main and heading)), main, heading, home, depth, header == 2 and not heading)
 
     def text(part: str) -> None:
         if part:
@@ -175,7 +175,7 @@ def cut(page: str) -> list[_Block]:
             _, bad, main, header, heading, home, named, headed, depth = stack[-1]
             if is_main:  # what holds an article is not known by its class or id
                 depth, named, headed = depth + named + headed, 0, False
-            header = header or tag == "header"
+            header = header or (tag == "header") * (2 if main else 1)
             headed = headed or "header" in words and not is_main
             named += cue and not firm
             if tag != "p" and tag not in HEADINGS:
@@ -254,6 +254,8 @@ def main_text(page: str | None) -> str:
     # of several articles, those under the fewest wrappers named like what is no text; headings alone are no article
     depth = min((b.depth for b, _ in blocks if b.main and not b.bad and not b.heading), default=0)
     blocks = [(b, t) for b, t in blocks if not b.bad and not (b.main and b.depth > depth)]  # others stand where no text does, so they are no one's neighbours
+    # in the article's own header, what reads like a paragraph is its lead; names, dates and the like are not
+    blocks = [(b, t) for b, t in blocks if not b.lead or first_pass(b, t, has_main) == GOOD]
     known = has_main or _stops(" ".join(t for _, t in blocks)) >= FEW_STOPS
     labels = [first_pass(b, t, has_main, known) for b, t in blocks]
     kept = second_pass(labels, [b.main for b, _ in blocks], [b.home for b, _ in blocks])

@@ -99,3 +99,16 @@ def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0], 1, 1), (1, [0.5, 0.0], 1, 1), (2, [0.5, 0.0], 1, 1)], schema)
     assert [tuple(r) for r in topk.search(few).collect()] == [(0, 1, 1, 1024 * 512), (0, 2, 2, 1024 * 512)]
     assert topk.search(few.limit(0)).count() == 0 and topk.search(few.where("vec_id > 0")).count() == 0
+
+
+def test_a_lead_in_the_header_of_the_article_stays():
+    lead = "This is the lead of the article, which tells in one paragraph what is to come in the rest of it."
+    body = "The rest of it is as long as the lead and has as many of the words that every text in the language has."
+    page = f"<body><header><p>{lead}</p><nav>Home</nav></header><article><header><h1>Title</h1><p>{lead}</p><p>By Ann Onym</p><time>3 May</time></header><p>{body}</p></article></body>"
+    assert extraction.main_text(page) == f"Title {lead} {body}"
+
+
+@pytest.mark.parametrize("text", ["Wszystkie szczęśliwe rodziny są do siebie podobne, każda nieszczęśliwa rodzina jest nieszczęśliwa na swój sposób.", "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему, так говорится в начале.", "幸福的家庭都是相似的，不幸的家庭各有各的不幸。" * 5])
+def test_pages_without_an_article_in_other_languages(text):
+    page = f"<body><nav><a href=/>Start</a> <a href=/b>B</a></nav><div><p>{text}</p><p>{text}</p></div><footer>2020</footer></body>"
+    assert extraction.main_text(page) == f"{text} {text}"

@@ -192,6 +192,18 @@ def test_redaction(spark, documents):
     assert secrets.scan(secrets.redact(documents)).where("spans <> ''").count() == 0
 
 
+def test_very_long_texts_and_many_secrets(spark):
+    rng = np.random.default_rng(9)
+    token = "".join(rng.choice(list(secrets.BASE64_ALPHABET), 200_000))
+    many = " ".join(f"é password=abcdefg{i:x} {'AKIA' + 'Q' * 20 if i % 3 == 0 else 'token:short'}" for i in range(900))
+    df = spark.createDataFrame([(1, f"ü {token} b"), (2, many), (3, "word " * 200_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.scan(df).collect()}
+    assert rows[1].spans == f"random:2:{2 + len(token)}" and rows[2].spans == brute.base_spans(many) and not rows[3].spans
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[1] == "ü [REDACTED] b" and clean[3] == "word " * 200_000
+    assert clean[2] == " ".join(f"é [REDACTED] {'[REDACTED]' if i % 3 == 0 else 'token:short'}" for i in range(900))
+
+
 # --- 4 ---
 
 
