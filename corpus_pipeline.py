@@ -27,9 +27,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets (operator 3) replaced by a mark; n_chars follows the text."""
-    clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    """All documents, their secrets (operator 3) replaced by a mark; n_chars follows the text, and stays where that is null."""
+    text, n_chars = (f"c{common.place(docs, name)}" for name in ("text", "n_chars"))
+    clean = common.plain(secrets.redact(docs))
+    return clean.withColumn(n_chars, F.coalesce(F.length(text).cast("long"), F.col(n_chars))).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
