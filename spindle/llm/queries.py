@@ -59,14 +59,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": """
-        with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '') w from documents),
-        p as (select doc_id, w, unnest(range(1, len(w) - 48)) i from d where len(w) >= 50),
-        h as (select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) h from p),
+        with d as (select row_number() over () n, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '') w from documents),
+        p as (select n, doc_id, w, unnest(range(1, len(w) - 48)) i from d where len(w) >= 50),
+        h as (select n, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) h from p),
         m as (select h, min(doc_id) first from h group by h),
-        c as (select distinct doc_id, unnest(range(i, i + 50)) i from h join m using (h) where first < doc_id),
-        r as (select doc_id, list(i) gone from c group by doc_id),
-        k as (select d.doc_id, w, coalesce(gone, []) gone, list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)) kept from d left join r using (doc_id))
+        c as (select distinct n, unnest(range(i, i + 50)) i from h join m using (h) where first < doc_id),
+        r as (select n, list(i) gone from c group by n),
+        k as (select doc_id, w, coalesce(gone, []) gone, list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)) kept from d left join r using (n))
         select doc_id, cast(len(w) as bigint) n_words, cast(len(gone) as bigint) n_removed, sha256(array_to_string(kept, ' ')) kept_sha256 from k""",
+    "op2_minhash_near_dedup": """
+        with recursive d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '') w from documents),
+        n as (select doc_id, w, case when len(w) = 0 then ' ' || doc_id else md5(array_to_string(w, ' ')) end t from d where doc_id is not null),
+        s as (select t, any_value(w) w from n where len(w) > 0 group by t),
+        g as (select t, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) g from s),
+        c as (select t, g, cast(count(*) as double) c from g group by t, g),
+        f as (select t, g, c, c / sum(c) over (partition by t) as share from c),
+        p as (select a.t a, b.t b from f a join f b on a.g = b.g and a.t < b.t group by a.t, b.t having sum(least(a.share, b.share)) >= cast(0.8 as double) - 1e-9),
+        u as (select a, b, g, sum(x) x, sum(y) y from (select a, b, g, c x, 0 y from p join c on t = a union all select a, b, g, 0 x, c y from p join c on t = b) group by a, b, g),
+        r as (select a, b, x, y, case when x = 0 then cast('infinity' as double) else y / x end ratio from u),
+        q as (select a, b, x, y, sum(x) over upto below, sum(y) over (partition by a, b) - sum(y) over upto above from r window upto as (partition by a, b order by ratio)),
+        j as (select a, b from q where x > 0 and y > 0 group by a, b having sum(1 / (below / x + above / y)) >= cast(0.8 as double) - 1e-9),
+        e as (select a, b from j union select b, a from j union select k.t, l.t from n k join n l on k.doc_id = l.doc_id and k.t <> l.t),
+        o as (select t a, t b from n union select o.a, e.b from o join e on o.b = e.a),
+        m as (select t, min(doc_id) least_id from n group by t),
+        v as (select a t, min(least_id) class_id from o join m on o.b = m.t group by a)
+        select doc_id, class_id from n join v using (t) union all select doc_id, null from d where doc_id is null""",
     "op7_source_mixing": """
         with d as (select doc_id, source, coalesce(text, '') t from documents),
         b as (select doc_id, source, t, cast(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) as bigint) size,

@@ -67,3 +67,17 @@ def test_everything_is_packed(stages):
 
 def test_run(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages[-1][2].count()
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_odd_rows_and_clashing_names(name, spark, sf, documents, empty, clashing):
+    """Null and empty texts, null and repeated doc_ids, no rows, further columns of the operators' own names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, empty, sf).count() == 0
+    plain, out = stage(spark, documents, sf), stage(spark, clashing, sf)
+    if name == "packing":
+        assert out.columns == plain.columns and out.agg({"length": "sum"}).first() == plain.agg({"length": "sum"}).first()
+        return
+    assert plain.columns == documents.columns and out.columns == clashing.columns
+    first = out.toDF(*[f"c{i}" for i in range(len(out.columns))]).select(*[f"c{i}" for i in range(5)])
+    assert sorted(map(tuple, first.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
