@@ -84,6 +84,48 @@ ORACLE_SQL: dict[str, str] = {
         m as (select t, min(doc_id) least_id from n group by t),
         v as (select a t, min(least_id) class_id from o join m on o.b = m.t group by a)
         select doc_id, class_id from n join v using (t) union all select doc_id, null from d where doc_id is null""",
+    "op3_secret_scan": """
+        with x as (select row_number() over () id, doc_id, coalesce(text, '') t from documents),
+        o as (select id, 0 k, t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)' p, 2 grp from x union all select id, 1, t, 'AKIA[A-Z0-9]{12,}', 0 from x
+              union all select id, 2, t, '[0-9a-f]{32,}', 0 from x union all select id, 3, t, '[A-Za-z0-9+/_-]{24,}', 0 from x),
+        r as (select id, k, string_split_regex(t, p) gaps, regexp_extract_all(t, p, 0) m, case grp when 2 then regexp_extract_all(t, p, 2) else regexp_extract_all(t, p, 0) end v from o),
+        y as (select id, k, unnest(gaps[1 : len(m)]) gap, unnest(m) m, unnest(v) v, unnest(range(len(m))) i from r where len(m) > 0),
+        f as (select id, k, m, v, sum(length(gap) + length(m)) over (partition by id, k order by i) till from y),
+        b as (select id, k, till - length(m) start, till from f where k < 3 and (k > 0 or length(v) >= 8)),
+        n as (select row_number() over () tok, id, till - length(m) start, till, m t, case
+                  when regexp_matches(m, '^[0-9a-fA-F_-]+$') and regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-fA-F]') then 1
+                  when regexp_matches(m, '^[A-Z2-7_-]+$') and regexp_matches(m, '[2-7]') and regexp_matches(m, '[A-Z]') then 2
+                  when regexp_matches(m, '^([0-9a-z_-]+|[0-9A-Z_-]+)$') and regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-zA-Z]') then 3
+                  when regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') then 4 end e from f where k = 3),
+        al as (select unnest([1, 2, 3, 4]) e, unnest(['0123456789abcdef', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', '0123456789abcdefghijklmnopqrstuvwxyz',
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/']) symbols),
+        lt(c, p) as (values LETTERS),
+        la as (select e, lt.c, cast(p as double) p, ln(sum(cast(p as double)) over (partition by e) / (count(*) over (partition by e) * cast(p as double))) ratio from al join lt on contains(lower(symbols), lt.c) where e < 4),
+        lm as (select e, sum(p * ratio) / sum(p) mu, sqrt(sum(p * ratio * ratio) / sum(p) - power(sum(p * ratio) / sum(p), 2)) dev from la group by e),
+        sy as (select tok, e, symbols, case e when 4 then translate(t, '-_', '+/') when 2 then replace(replace(t, '-', ''), '_', '') else lower(replace(replace(t, '-', ''), '_', '')) end s from n join al using (e)),
+        ch as (select tok, e, symbols, cast(length(s) as double) n, unnest(string_split(s, '')) c, unnest(range(length(s))) i from sy),
+        ci as (select tok, e, n, c, i, cast(length(symbols) as double) size, cast(instr(symbols, c) as double) q,
+                      case when c between 'A' and 'Z' then 'u' when c between 'a' and 'z' then 'l' when c between '0' and '9' then '0' else 'o' end g from ch),
+        nx as (select *, lead(q) over w q2, g <> lead(g) over w as change from ci window w as (partition by tok order by i)),
+        sq as (select tok, sum(many * many) squares from (select tok, c, cast(count(*) as double) many from ci group by tok, c) group by tok),
+        st as (select tok, nx.e, n, size, sum(q) / n mean, sum(q * q) qq, sum(q * q2) qr, min(case when i = 0 then q end) q_first, min(case when i = n - 1 then q end) q_last,
+                      sum(case when change then 1 else 0 end) changes, sum(case when la.c is null then 0 else 1 end) letters, sum(coalesce(ratio, 0)) ratios
+               from nx left join la on nx.e = la.e and lower(nx.c) = la.c group by tok, nx.e, n, size),
+        sv as (select st.*, squares * size / n - n chi, qq - n * mean * mean v, qr - mean * (2 * n * mean - q_first - q_last) + (n - 1) * mean * mean cov from st join sq using (tok)),
+        ev as (select *, (power(greatest(chi, 0) / (size - 1), cast(1 as double) / 3) - (1 - 2 / (9 * (size - 1)))) / sqrt(2 / (9 * (size - 1))) even from sv),
+        zs as (select tok, (case when ev.e = 4 then (size - 1 + n * (size * cast(0.065 as double) - 1) - chi) / (2 * size * sqrt(n * (cast(0.0055 as double) - cast(0.065 as double) * cast(0.065 as double))))
+                                 else (ratios - letters * mu) / (sqrt(letters) * dev) end
+                            + (changes - (n - 1) * cast(0.15 as double)) / sqrt((n - 1) * cast(0.1275 as double))) / sqrt(cast(2 as double)) z
+               from ev left join lm on ev.e = lm.e where not (even < -4 or (ev.e <> 4 and even > 5) or abs(cov) * sqrt(n) > 4 * v or v <= 1e-9)),
+        pv as (select id, start, till, case when z > 0 then exp(-z * z / 2) / 2 else cast(1 as double) end * avg(till - start) over (partition by id) / (till - start) p, count(*) over (partition by id) tested from zs join n using (tok)),
+        rk as (select *, row_number() over (partition by id order by p, start) place from pv),
+        lv as (select *, max(case when p <= place * cast(0.001 as double) / tested then p end) over (partition by id) as "level" from rk),
+        ad as (select id, 3 k, start, till from lv where p <= "level" and not exists (select 1 from b where b.id = lv.id and b.start < lv.till and lv.start < b.till)),
+        al2 as (select id, k, start, till, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || cast(start as bigint) || ':' || cast(till as bigint) label from (select * from b union all select * from ad)),
+        ag as (select id, count(*) filter (where k = 0) n_assign, count(*) filter (where k = 1) n_access, count(*) filter (where k = 2) n_hex, count(*) filter (where k = 3) n_random,
+                      string_agg(label, ',' order by start, k) filter (where k < 3) base, string_agg(label, ',' order by start, k) spans from al2 group by id)
+        select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_random, 0) n_random
+        from x left join ag using (id)""".replace("LETTERS", ", ".join(f"('{c}', {p})" for c, p in secrets.TEXT_LETTERS.items())),
     "op7_source_mixing": """
         with d as (select doc_id, source, coalesce(text, '') t from documents),
         b as (select doc_id, source, t, cast(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) as bigint) size,
