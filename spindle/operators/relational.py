@@ -6,13 +6,15 @@ dialect. Floating sums are rounded to two digits, and every LIMIT has a total or
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import compat
-from ..session import Engine
+from ..session import Engine, connect
 from ..sources.catalog import bucketed
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -277,6 +279,56 @@ def _nodes(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(n,) for n in nodes.expand("host[[001-003]]")], "node string")
 
 
+def _to_file(t: Tables) -> DataFrame:
+    """A result goes to where .output points, with the separator that was set; read back as lines."""
+    e = t.engine("orders")
+    path = _folder(t, f"spindle_result_text_{uuid.uuid4().hex}")
+    e.execute(f".output {path}")
+    e.execute(".col_separator @@")
+    e.emit(e.sql("select o_orderkey, o_orderpriority from orders"))
+    return t.spark.read.text(path).select(c("value").alias("line"))
+
+
+def _to_client(t: Tables) -> DataFrame:
+    """What a client's stream receives."""
+    e, out = t.engine("nation"), io.StringIO()
+    e.emit(e.sql("select n_nationkey, n_name from nation order by n_nationkey"), out)
+    return t.spark.createDataFrame([(line,) for line in out.getvalue().splitlines()], "line string")
+
+
+def _db_api(t: Tables) -> DataFrame:
+    """Rows by a cursor, with a bound parameter."""
+    t.engine("nation")
+    cursor = connect(t.spark).cursor().execute("select n_nationkey, n_name from nation where n_regionkey = ?1 order by n_nationkey", [2])
+    return t.spark.createDataFrame(cursor.fetchmany(2) + cursor.fetchall(), "k long, name string")
+
+
+def _settings(t: Tables) -> DataFrame:
+    e = t.engine()
+    e.execute(".col_separator \\t")
+    return e.sql(".show").select(F.explode(F.split("result", "\n")).alias("setting"))
+
+
+def _schema(t: Tables) -> DataFrame:
+    """A table's statement, as it was given; .tables names the table."""
+    e = t.engine()
+    e.execute("drop table if exists spindle_described")
+    e.execute("create table spindle_described (id int primary key, name text)")
+    listed = e.sql(".tables").select(F.explode(F.split("result", "\n")).alias("line")).where("line = 'spindle_described'")
+    return listed.unionAll(e.sql(".schema spindle_described").select("result"))
+
+
+def _terms(t: Tables) -> DataFrame:
+    """The terms of a full-text table: in how many rows, and how often, each stands."""
+    e = t.engine("documents")
+    for name in ("spindle_terms", "spindle_words"):
+        e.execute(f"drop table if exists {name}")
+    e.execute("create virtual table spindle_words using fts4 (body text)")
+    e.execute("insert into spindle_words select text from documents")
+    e.execute("create virtual table spindle_terms using fts4aux (spindle_words)")
+    return e.sql("select term, col, documents as in_rows, occurrences from spindle_terms")
+
+
 def _multi_step(t: Tables) -> DataFrame:
     """Intermediate tables in place of sub-queries, as in the five-step form of TPC-H 20."""
     e = t.engine("lineitem", "part", "supplier", "nation", "region")
@@ -297,3 +349,9 @@ query("import_xml", "select cast(c_custkey as bigint) as key, c_name as name, c_
 query("temp_table", "select cast(p_partkey as bigint) as k, p_name as name from part union all select -1, 'none'", _temporary)
 query("create_index", "select 'name : spindle_index' as result", _indices)
 query("node_ranges", "select * from (values ('host001'), ('host002'), ('host003')) v(node)", _nodes)
+query("result_to_file", "select o_orderkey || '@@' || o_orderpriority as line from orders", _to_file)
+query("result_to_client", "select n_nationkey || '|' || n_name as line from nation", _to_client)
+query("db_api", "select cast(n_nationkey as bigint) as k, n_name as name from nation where n_regionkey = 2", _db_api)
+query("show_settings", "select unnest(['row_sep : \\n', 'col_sep : \\t', 'output : stdout', 'chunk_num : 1', 'replica_num : 1']) as setting", _settings)
+query("schema_tables", "select unnest(['spindle_described', 'create table spindle_described (id int primary key, name text);']) as line", _schema)
+query("full_text_terms", "with w as (select row_number() over () n, text from documents), t as (select n, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) term from w), a as (select term, count(distinct n) in_rows, count(*) occurrences from t where term <> '' group by term) select term, unnest(['*', 'body']) as col, in_rows, occurrences from a", _terms)
