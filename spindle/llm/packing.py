@@ -73,11 +73,11 @@ class Tokens(dict):
 
     def whole(self, text: str) -> bytes:
         """ids(), but the tokenizer's added tokens, where they stand in the text, are one id each, as in the tokenizers library."""
-        out, at = b"", 0
+        out, at = [], 0
         for m in self.cuts.finditer(text):
-            out += self.ids(text[at : m.start()]) + self.added[m[0]]
+            out += [self.ids(text[at : m.start()]), self.added[m[0]]]
             at = m.end()
-        return out + self.ids(text[at:]) if at else self.ids(text)
+        return b"".join([*out, self.ids(text[at:])])
 
 
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
