@@ -42,6 +42,13 @@ class Scratch:
             root = found.get()
         self.root = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
+    @classmethod
+    def at(cls, spark: SparkSession, folder: str) -> Scratch:
+        """Tables that last, in a folder of yours; driver and executors must share it."""
+        out = cls.__new__(cls)
+        out.spark, out.root = spark, folder.rstrip("/")
+        return out
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -53,12 +60,22 @@ class Scratch:
     def dealt(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
         """As save(), dealt by keys into as many files as a shuffle has partitions: joins and groups on these keys need no exchange of it."""
         table, n = f"spindle_{uuid.uuid4().hex}", partitions(self.spark)
-        df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", self.path(name)).saveAsTable(table)
+        df.repartition(n, *keys).write.format("parquet").mode("overwrite").bucketBy(n, *keys).sortBy(*keys).option("path", self.path(name)).saveAsTable(table)
+        return self._unnamed(table)
+
+    def _unnamed(self, table: str) -> DataFrame:
         out = self.spark.table(table)
         out.schema  # resolved; the name is not needed any more, and the files stay, as their place was given
         self.spark.sql(f"drop table {table}")
         return out
 
+    def reopened(self, name: str, schema: str, n: int, *keys: str) -> DataFrame:
+        """What dealt() wrote into n files in another session, known to be dealt and sorted as it is."""
+        table, by = f"spindle_{uuid.uuid4().hex}", ", ".join(keys)
+        where = self.path(name).replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"create table {table} ({schema}) using parquet clustered by ({by}) sorted by ({by}) into {n} buckets location '{where}'")
+        return self._unnamed(table)
+
     def _files(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
@@ -68,6 +85,13 @@ class Scratch:
         for name in names:
             files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name)), True)
 
+    def names(self) -> list[str]:
+        """The tables that are there, written to their end."""
+        files, root = self._files()
+        found = [f.getPath() for f in files.listStatus(root)] if files.exists(root) else []
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return [p.getName() for p in found if files.exists(done(p, "_SUCCESS"))]
+
     def clear(self, *keep: str) -> None:
         """Drop all tables but these."""
         files, root = self._files()

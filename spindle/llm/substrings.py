@@ -24,6 +24,7 @@ window that very many documents hold are not dealt by it (common.spread).
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ ANCHOR = 10
 BATCHES = 2
 FANOUT = 2
 _KEY = ("m", "s1", "s2", "n")
+_RUN = "m long, s1 long, s2 long, n int, doc long, t long, start int"
+_MANIFEST = "name string, level int, files int, made int, newest long, window int, anchor int"
 _SEGMENTS = "m long, s1 long, s2 long, n int, doc long, t long, start int"
 
 
@@ -102,23 +105,61 @@ class Index:
     that an earlier document holds as a whole, and the segments, new and old, whose windows
     must be compared (verified()). Runs are never changed, only merged into new ones, as soon as
     the next batch comes.
+
+    An index that lasts: open() reads the runs of earlier sessions from a folder, commit() makes
+    the runs of this one part of it. A manifest names the runs that count and is written as a new
+    file, so a session that ends before its commit leaves the index as it was; files of runs that
+    were merged go after the commit.
     """
 
-    def __init__(self, scratch: common.Scratch, fanout: int = FANOUT):
-        self.scratch, self.fanout = scratch, fanout
+    def __init__(self, scratch: common.Scratch, fanout: int = FANOUT, lasting: common.Scratch | None = None):
+        self.scratch, self.fanout, self.lasting = scratch, fanout, lasting
         self.runs: list[tuple[int, str, DataFrame]] = []  # level, name, reader
-        self.made = 0
+        self.files: dict[str, int] = {}  # into how many files each run is dealt
+        self.stale: list[str] = []
+        self.made = self.version = 0
+        self.newest: int | None = None  # greatest doc_id that it holds
+
+    @classmethod
+    def open(cls, scratch: common.Scratch, folder: str, window: int, anchor: int, fanout: int = FANOUT) -> Index:
+        """The index in this folder, a new one where there is none."""
+        index = cls(scratch, fanout, common.Scratch.at(scratch.spark, folder))
+        index.shape = (window, anchor)
+        index.version = max((int(n.removeprefix("manifest")) for n in index.lasting.names() if re.fullmatch(r"manifest\d+", n)), default=0)
+        if not index.version:
+            return index
+        rows = index.lasting.spark.read.schema(_MANIFEST).json(index.lasting.path(f"manifest{index.version}")).collect()
+        if {(r.window, r.anchor) for r in rows} != {index.shape}:
+            raise ValueError(f"the index in {folder} is of other windows")
+        index.newest, index.made = rows[0].newest, rows[0].made
+        for r in rows:
+            index.files[r.name] = r.files
+            index.runs.append((r.level, r.name, index.lasting.reopened(r.name, _RUN, r.files, "m")))
+        return index
+
+    def commit(self, newest: int) -> None:
+        """From now on these runs are the index; newest: the greatest doc_id in them."""
+        rows = [(name, level, self.files[name], self.made, newest, *self.shape) for level, name, _ in self.runs]
+        before, self.version, self.newest = self.version, self.version + 1, newest
+        self.lasting.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.json(self.lasting.path(f"manifest{self.version}"))
+        self.lasting.drop(*self.stale, *([f"manifest{before}"] if before else []))
+        self.stale.clear()
 
     def _run(self, rows: DataFrame, level: int) -> DataFrame:
         name = f"run{self.made}"
         self.made += 1
-        out = self.scratch.dealt(rows, name, "m")
+        out = self.place.dealt(rows, name, "m")
+        self.files[name] = common.partitions(self.place.spark)
         self.runs.append((level, name, out))
         return out
 
+    @property
+    def place(self) -> common.Scratch:
+        return self.lasting or self.scratch
+
     def read(self, name: str) -> DataFrame:
         """A run's rows as they lie in its files. In a union, readers that promise how rows are dealt are not safe: the planner may rely on it and drop it."""
-        return self.scratch.spark.read.parquet(self.scratch.path(name))
+        return self.place.spark.read.schema(_RUN).parquet(self.place.path(name))
 
     def ingest(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         self.compact()
@@ -146,7 +187,11 @@ class Index:
         while len(some := [r for r in self.runs if r[0] == level]) >= self.fanout:
             self.runs = [r for r in self.runs if r[0] != level]
             self._run(_firsts(_union([self.read(name) for _, name, _ in some])), level + 1)
-            self.scratch.drop(*[name for _, name, _ in some])
+            names = [name for _, name, _ in some]
+            if self.lasting:
+                self.stale += names  # the last manifest still names them
+            else:
+                self.scratch.drop(*names)
             level += 1
 
 
@@ -198,7 +243,11 @@ def _joined(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return docs.where("doc_id is not null").join(lists, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("dt")), how).select("doc_id", "t", "text", "parts")
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, texts: bool = False) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    return common.take(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("t"), "text")
+
+
+def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, texts: bool = False, index: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document; texts: also kept, the words that stay.
 
     Words are runs of anything but ASCII white space, as they are. Removed is each word covered by
@@ -207,22 +256,35 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bat
     loses nothing; rows that share a doc_id do not count against each other, and equal rows have
     equal results; texts of fewer words than a window lose nothing. An empty table gives no
     rows. Other columns are not read.
+
+    index: a folder with the runs of earlier calls, which docs are held against and become part
+    of, and history: the documents of those calls, of which those with doubtful windows are read.
+    Each doc_id must be greater than all of the earlier calls; else, as when a batch that is part of the
+    index comes again, a ValueError tells so and the index stays as it was. One call at a time may write an index.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "substrings")
-    docs = common.take(docs, doc_id="long", text="string")
-    docs = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    docs = _texts(docs)
     found = scratch.save(segments(docs, window, anchor), "segments")
     cuts = found.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
-    index, covered, doubtful = Index(scratch), [], []
+    runs, covered, doubtful = Index(scratch) if index is None else Index.open(scratch, index, window, anchor), [], []
+    oldest, newest = docs.agg(F.min("doc_id"), F.max("doc_id")).first() if index is not None else (None, None)
+    if runs.newest is not None:
+        if history is None:
+            raise ValueError("the index holds documents: history must give their texts")
+        if oldest is not None and oldest <= runs.newest:
+            raise ValueError(f"doc_id {oldest} does not come after {runs.newest}, which the index holds")
     for low, high in zip(bounds, bounds[1:]):
         part = found if low is None else found.where(F.col("doc") > low)
         part = part if high is None else part.where(F.col("doc") <= high)
-        sure, open_ = index.ingest(part)
+        sure, open_ = runs.ingest(part)
         covered.append(sure)
         doubtful.append(open_)
-    covered = scratch.save(_union([*covered, verified(docs, _union(doubtful), window, scratch)]), "covered")
+    known = docs if history is None else docs.unionAll(_texts(history))
+    covered = scratch.save(_union([*covered, verified(known, _union(doubtful), window, scratch)]), "covered")
+    if newest is not None:
+        runs.commit(newest)
     scratch.clear("covered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,7 +66,12 @@ def test_everything_is_packed(stages):
 
 
 def test_run(spark, sf, stages):
-    assert corpus_pipeline.run(spark, sf).count() == stages[-1][2].count()
+    """All stages in a row give the pieces that they give one by one; in which sequence a piece stands is the tasks' matter."""
+    pieces = lambda df: Counter(tuple(r) for r in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    out = corpus_pipeline.run(spark, sf)
+    assert pieces(out) == pieces(stages[-1][2])
+    places = sorted((r.sequence_id, r.offset, r.length) for r in out.collect())
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip([(None, 0, 0), *places], places))
 
 
 @pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])

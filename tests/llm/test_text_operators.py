@@ -53,6 +53,39 @@ def test_index_keeps_what_runs_hold(documents, spark):
     assert index.runs[0][2].count() == found.where("doc < 400").select("m", "s1", "s2", "n").distinct().count()
 
 
+def test_index_lasts_from_batch_to_batch(documents, corpus, spark, tmp_path):
+    """Each call holds a batch against the runs of earlier ones; together they give what one call over all gives."""
+    names = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    folder, found, before = str(tmp_path / "it's an index"), [], "false"
+    for low, high in ((0, 100), (100, 200), (200, 260), (260, 2000)):
+        batch = documents.where(f"doc_id >= {low} and doc_id < {high}")
+        out = substrings.deduplicate(batch, batches=1, index=folder, history=documents.where(before) if low else None)
+        found += got(out, *names)
+        before = f"doc_id < {high}"
+    assert sorted(found, key=str) == [r for r in sorted(brute.substrings(pairs(corpus)), key=str) if r[0] is not None]
+    kept = substrings.Index.open(common.Scratch(spark, "test"), folder, substrings.WINDOW, substrings.ANCHOR)
+    # runs are merged when the next batch comes: the first two by the third
+    assert kept.newest == 1006 and kept.version == 4 and [(level, name) for level, name, _ in kept.runs] == [(1, "run2"), (0, "run3"), (0, "run4")]
+    assert sorted(kept.lasting.names()) == ["manifest4", "run2", "run3", "run4"]
+    # reopened runs are still dealt and sorted: a join by anchor takes them as they lie
+    a, b = (r.select("m") for *_, r in kept.runs[1:])
+    plan = a.hint("merge").join(b, "m")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    # a session that ends before its commit leaves the index as it was, and the next one takes its place
+    lost = common.take(spark.createDataFrame([(2000, "lost " * 80)], "doc_id long, text string"), doc_id="long", text="string").selectExpr("doc_id", "xxhash64(text) t", "text")
+    kept.ingest(substrings.segments(lost))
+    again = spark.createDataFrame([(2000, "found " * 80), (2001, "lost " * 80)], "doc_id long, text string")
+    assert got(substrings.deduplicate(again, index=folder, history=documents), "doc_id", "n_removed") == [(2000, 0), (2001, 0)]
+    assert substrings.Index.open(common.Scratch(spark, "test"), folder, substrings.WINDOW, substrings.ANCHOR).newest == 2001
+    assert substrings.deduplicate(documents.limit(0), index=folder, history=documents).count() == 0
+    with pytest.raises(ValueError, match="does not come after"):
+        substrings.deduplicate(documents, index=folder, history=documents)
+    with pytest.raises(ValueError, match="history"):
+        substrings.deduplicate(documents, index=folder)
+    with pytest.raises(ValueError, match="other windows"):
+        substrings.deduplicate(documents, window=20, index=folder, history=documents)
+
+
 def thue_morse(n):
     """A word of n letters and its complement: polynomials in an odd number, modulo a power of two, take them for equal."""
     a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
